@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import clusters, neighbours, percentiles
+from fieldloom.llm import clusters, mixing, neighbours, packing, percentiles, quality, tokens
+from fieldloom.session import checkpoint
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +65,45 @@ def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.col("rank") + 1, F.col("c.id").alias("neighbour_id"), F.round(F.sqrt("c.sd"), 6).alias("distance")).toDF("vec_id", "rank", "neighbour_id", "distance")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p6_found, p6_neighbours)}
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, written once."""
+    return checkpoint(tokens.token_counts(table(spark, sf_dir, "documents"), ("doc_id", "source")))
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_sizes(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return packing.packing_report(p7_packed(spark, sf_dir))
+
+
+def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_sizes(spark, sf_dir), table(spark, sf_dir, "mixtargets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mixtargets")
+    return mixing.mixture_report(mixing.mixed(sizes, targets), sizes, targets)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.structured_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "commonwords"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and nearest profile of every document's main text."""
+    return quality.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "commonwords"))
+
+
+def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basic counts of every document's whole text, as column expressions."""
+    return quality.text_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
 
 SQL = {
     "p3_found": """
@@ -94,4 +133,11 @@ SQL = {
             SELECT a.vec_id AS q, b.vec_id AS r, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.coords, b.coords), b.vec_id) AS k
             FROM v a JOIN v b ON a.vec_id <> b.vec_id)
         SELECT DISTINCT least(q, r) AS vec_a, greatest(q, r) AS vec_b FROM d WHERE k <= 5""",
+    "p9_counts": r"""
+        SELECT doc_id, length(text) AS n_chars_text, len(regexp_extract_all(text, '\p{L}+')) AS n_words,
+            round(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / nullif(len(regexp_extract_all(text, '\p{L}+')), 0), 6) AS mean_word_length,
+            round(length(regexp_replace(text, '[\p{L}\p{Nd}\s]+', '', 'g')) / nullif(length(text), 0), 6) AS symbol_ratio,
+            len(regexp_extract_all(text, '[^\r\n]*[^\s][^\r\n]*')) AS n_lines,
+            round(len(regexp_extract_all(text, '[^\r\n]*[.!?:;…][ \t]*(\r|\n|$)')) / nullif(len(regexp_extract_all(text, '[^\r\n]*[^\s][^\r\n]*')), 0), 6) AS lines_punctuated
+        FROM documents""",
 }

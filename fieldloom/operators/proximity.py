@@ -222,7 +222,8 @@ def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
 
 def within_regions(places: DataFrame, plots: DataFrame, block: int = 9) -> DataFrame:
     """Pairs (rep, plot_id) of positions and the regions that contain them."""
-    regions = region_ranges(plots, block)
+    # Covering is Python work of some milliseconds a region: spread it and do it once.
+    regions = checkpoint(region_ranges(plots.repartition(F.col("plot_id")), block))
     ranges = regions.select("plot_id", F.explode(F.arrays_zip("lo", "hi", "inner")).alias("r")).select("plot_id", "r.lo", "r.hi", "r.inner")
     coded = places.select("rep", "east", "north").withColumn("code", morton(F.col("east"), F.col("north")))
     met = range_join(coded, ranges, block, "rep")

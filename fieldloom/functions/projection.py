@@ -324,3 +324,42 @@ def with_east_north(df: DataFrame, x: Column, y: Column, kind: Column, lon0: Col
     e = _east_north(x, y, kind, lon0, k0, x0, y0)
     value = lambda c: F.when(~F.isnan(F.col(f"_en.{c}")), F.col(f"_en.{c}"))
     return df.withColumn("_en", e).withColumns({"east": value("east"), "north": value("north")}).drop("_en")
+
+
+def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """x and y from one named system to another, as expressions.
+
+    Systems are EPSG:4326 and EPSG:4258 (degrees), EPSG:3857 and the UTM zones
+    of WGS 84 and ETRS89, in any spelling that ``parse_proj`` reads.
+    """
+    a, b = parse_proj(source), parse_proj(target)
+    if a is None or b is None:
+        raise ValueError(f"unknown system: {source if a is None else target}")
+    if a == b:
+        return x, y
+    if a["swap"]:
+        x, y = y, x
+    scale = UNITS.get(a["h"], 1.0)
+    x, y = (x * scale, y * scale) if scale != 1 else (x, y)
+    if a["kind"] == "tm":
+        lon, lat = tm_to_lonlat(x - a["x0"] + UTM_EAST, y - a["y0"], a["lon0"], a["k0"])
+    else:
+        lon, lat = mercator_to_lonlat(x, y) if a["kind"] == "merc" else (x, y)
+    if b["kind"] == "tm":
+        east, north = lonlat_to_tm(lon, lat, b["lon0"], b["k0"], b["x0"])
+        east, north = east / UNITS[b["h"]], (north + b["y0"]) / UNITS[b["h"]]
+    else:
+        east, north = lonlat_to_mercator(lon, lat) if b["kind"] == "merc" else (lon, lat)
+    return (north, east) if b["swap"] else (east, north)
+
+
+def epsg(code: int) -> str:
+    """proj4 text of the systems known here."""
+    said = parse_proj(f"EPSG:{code}")
+    if said is None:
+        raise ValueError(f"EPSG:{code} is not known")
+    if said["kind"] == "geo":
+        return "+proj=longlat +datum=WGS84 +no_defs"
+    if said["kind"] == "merc":
+        return "+proj=merc +a=6378137 +b=6378137 +units=m +no_defs"
+    return f"+proj=utm +zone={round((said['lon0'] + 183) / 6)} +{'datum=WGS84' if code > 30000 else 'ellps=GRS80'} +units=m +no_defs"

@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldloom.operators.highdim import block_search, top_rows
 from fieldloom.session import checkpoint, sized_join
 
 DIM = 12
 NEIGHBOURS = 5
 #: Rows that the rotation and the thresholds are learned from, at most.
 SAMPLE = 20000
-#: Queries compared with all vectors at once in the last step.
-BLOCK = 20000
 #: Rows of one index bucket above which the bucket is joined by salts.
 HOT = 3000
 #: Ids kept per distinct vector: one more than any row of an equal vector can need.
@@ -170,11 +169,6 @@ def _probing(queries: DataFrame, code: Code, near: int, dim: int) -> DataFrame:
     return columns.mapInArrow(run, "qid bigint, q array<double>, q0 bigint, q1 bigint, key bigint")
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    window = Window.partitionBy("qid").orderBy("sd", "rep")
-    return pairs.withColumn("_r", F.row_number().over(window)).where(F.col("_r") <= k).drop("_r")
-
-
 def probe_join(encoded: DataFrame, queries: DataFrame, code: Code, near: int, k: int, dim: int) -> DataFrame:
     """The k best (qid, rep, sd) of all codes within Hamming distance 2 * near + 1 of each query."""
     index = encoded.select("rep", "coords", "bits0", "bits1", F.explode(F.array("key0", "key1")).alias("key"))
@@ -187,61 +181,7 @@ def probe_join(encoded: DataFrame, queries: DataFrame, code: Code, near: int, k:
     # A pair that both substrings retrieve counts once, from the first.
     first = (F.col("key").bitwiseAND(F.lit(1)) == 0) | (away[0] > near)
     met = probes.join(index, ["key", "_salt"]).where((away[0] + away[1] <= 2 * near + 1) & first & (F.col("qid") != F.col("rep")))
-    return _top(met.select("qid", "rep", _square("q", "coords", dim).alias("sd")), k)
-
-
-def block_search(reps: DataFrame, queries: DataFrame, k: int, dim: int, block: int = BLOCK) -> DataFrame:
-    """The k nearest of all vectors for every query, in blocks of ``block`` queries.
-
-    Each task compares its vectors with a block of queries and gives back k
-    rows a query; a block is the only thing sent to all tasks, and its size is
-    fixed.
-    """
-    count = queries.count()
-    out: DataFrame | None = None
-    blocks = -(-count // block)
-    numbered = queries.select("qid", "q", F.pmod(F.xxhash64("qid"), F.lit(max(1, 2 * blocks))).alias("_b")) if count else queries
-    for b in range(2 * blocks if count else 0):
-        part = numbered.where(F.col("_b") == b).select("qid", "q").toArrow().combine_chunks()
-        if not part.num_rows:
-            continue
-        ids = part["qid"].to_numpy()
-        at = part["q"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, at=at) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            best_d = np.full((len(ids), k), np.inf)
-            best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-            norm = (at * at).sum(axis=1)
-            for batch in batches:
-                x = batch.column("coords").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                rep = batch.column("rep").to_numpy()
-                for lo in range(0, len(ids), 1000):
-                    cut = slice(lo, lo + 1000)
-                    rough = norm[cut, None] + (x * x).sum(axis=1)[None, :] - 2 * at[cut] @ x.T
-                    # Rounding of the fast form is far below this slack; exact distances follow.
-                    row, col = np.nonzero(rough <= best_d[cut, -1:] + 1e-6 * (1 + norm[cut, None]))
-                    if not len(row):
-                        continue
-                    if len(row) > 4 * k * len(rough):
-                        kth = np.partition(rough, min(k, rough.shape[1] - 1), axis=1)[:, min(k, rough.shape[1] - 1)]
-                        row, col = np.nonzero((rough <= kth[:, None] + 1e-6 * (1 + norm[cut, None])) & (rough <= best_d[cut, -1:] + 1e-6 * (1 + norm[cut, None])))
-                    sd = ((at[cut][row] - x[col]) ** 2).sum(axis=1)
-                    other = ids[cut][row] != rep[col]
-                    row, col, sd = row[other], col[other], sd[other]
-                    every_r = np.concatenate([row, np.repeat(np.arange(len(rough)), k)])
-                    every_d = np.concatenate([sd, best_d[cut].ravel()])
-                    every_i = np.concatenate([rep[col], best_i[cut].ravel()])
-                    order = np.lexsort((every_i, every_d, every_r))
-                    every_r, every_d, every_i = every_r[order], every_d[order], every_i[order]
-                    begin = np.searchsorted(every_r, np.arange(len(rough)))
-                    pick = begin[:, None] + np.arange(k)
-                    best_d[cut], best_i[cut] = every_d[pick], every_i[pick]
-            q, j = np.nonzero(np.isfinite(best_d))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best_i[q, j]), pa.array(best_d[q, j])], names=["qid", "rep", "sd"])
-
-        found = _top(reps.select("rep", "coords").mapInArrow(run, "qid bigint, rep bigint, sd double"), k)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else reps.sparkSession.createDataFrame([], "qid bigint, rep bigint, sd double")
+    return top_rows(met.select("qid", "rep", _square("q", "coords", dim).alias("sd")), k)
 
 
 def nearest_vectors(reps: DataFrame, k: int = NEIGHBOURS, dim: int = DIM) -> DataFrame:

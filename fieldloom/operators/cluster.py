@@ -27,8 +27,8 @@ def numbered(df: DataFrame, key: str, name: str = "number") -> DataFrame:
 
 
 def auto_epsilon(df: DataFrame, axes: Sequence[str], min_pts: int, quantile: float = 0.8, factor: float = 3.0, id: str = "id") -> float | None:
-    """Radius from the distances to the min_pts nearest rows (itself included): their quantile times a factor."""
-    near = joins.knn(df, df, axes, min_pts, id)
+    """Radius from the distances of every row to its min_pts nearest other rows: their quantile times a factor."""
+    near = joins.knn(df, df, axes, max(min_pts, 1), id, exclude_self=True)
     row = near.agg(F.percentile(F.sqrt("sd"), F.lit(float(quantile))).alias("e")).first()
     return None if row["e"] is None else float(row["e"]) * factor
 

@@ -347,7 +347,7 @@ def dbscan_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.dbscan(ev2(spark, sf_dir), AXES, 3, 1.5)
 
 
-@query(f"""WITH {PT2}, p AS ({knn_sql("pt2", "pt2", "3")}) SELECT round(quantile_cont(sqrt(sd), 0.8) * 3, 6) AS epsilon FROM p""")
+@query(f"""WITH {PT2}, p AS ({knn_sql("pt2", "pt2", "3", "a.id <> b.id")}) SELECT round(quantile_cont(sqrt(sd), 0.8) * 3, 6) AS epsilon FROM p""")
 def dbscan_auto_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(cluster.auto_epsilon(pt2(spark, sf_dir), AXES, 3), 6),)], "epsilon double")
 

@@ -79,10 +79,11 @@ def drop_checkpoint(df: DataFrame | None) -> None:
 
 
 @atexit.register
-def _drop_all() -> None:
-    for spark, path in _written:
+def drop_checkpoints() -> None:
+    """Remove the files of all checkpoints of this process; tables read from them are no longer usable."""
+    while _written:
         try:
-            _remove(spark, path)
+            _remove(*_written.pop())
         except Exception:  # noqa: BLE001 - the session may be gone already
             return
 

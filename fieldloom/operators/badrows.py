@@ -1,10 +1,11 @@
 """Load delimited lines in bulk and separate those that fail, with the reason.
 
 The lines of one file (or of files with equal headers) in an Arrow batch form a
-block. A block is parsed at once by the columnar CSV reader; if that fails, or
-what it read is out of range, the block is halved until the failing lines stand
-alone; these are diagnosed field by field. Lines that the strict reading
-accepts although the fast one did not (a plus sign, blanks) are loaded too.
+block. A block is split at once by the columnar CSV reader; if that fails, it is halved
+until the failing lines stand alone. Values of the blocks that were split are
+converted by column. Lines that stand alone, or whose values the columnar
+conversion does not take, are diagnosed field by field, and loaded if nothing is
+wrong with them.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from fieldloom.session import sized_join
 WHOLE = {"intensity": 65535, "classification": 255}
 FINITE = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
 DIGITS = re.compile(r"\+?[0-9]+|-0+")
-#: Below this number of lines a failing block is diagnosed line by line.
-SMALL = 4
+#: Outer blanks of a field.
+BLANKS = " \t"
+#: A failing block of at most this many lines is diagnosed line by line; smaller calls of the bulk reader cost more.
+SMALL = 64
 
 
 class BadLine(ValueError):
@@ -90,7 +93,7 @@ def diagnose(line: str, sep: str, names: list[str]) -> dict:
         raise BadLine("column_count")
     row: dict = {}
     for name, raw in zip(names, fields):
-        value = raw.strip(" \t ")
+        value = raw.strip(BLANKS)
         if name.startswith("coords."):
             if not FINITE.fullmatch(value) or not math.isfinite(float(value)):
                 raise BadLine("invalid_value")
@@ -112,52 +115,72 @@ def diagnose(line: str, sep: str, names: list[str]) -> dict:
 
 
 def _parse_block(lines: pa.Array, sep: str, names: list[str], quoted: str) -> pa.Table | None:
-    """The block as a table by the bulk reader, or None if any of its lines may be bad."""
+    """Fields of the block as text columns by the bulk reader, or None if quoting or field counts may be wrong."""
     if pc.any(pc.match_substring(lines, '"')).as_py() and not pc.all(pc.match_substring_regex(lines, quoted)).as_py():
         return None
     text = "\n".join(lines.to_pylist()) + "\n"
-    if "\r" in text:
+    if "\r" in text or text.count("\n") != len(lines):
         return None
-    kinds = {n: pa.float64() if n.startswith("coords.") or n == "values" else pa.uint16() if n in WHOLE else pa.string() for n in names}
+    raw = text.encode()
     try:
         table = pyarrow.csv.read_csv(
-            io.BytesIO(text.encode()),
-            read_options=pyarrow.csv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 16, 2 * len(text.encode()))),
+            io.BytesIO(raw),
+            read_options=pyarrow.csv.ReadOptions(column_names=names, use_threads=False, block_size=max(1 << 16, 2 * len(raw))),
             parse_options=pyarrow.csv.ParseOptions(delimiter=sep, quote_char='"', double_quote=True, newlines_in_values=False, ignore_empty_lines=False),
-            convert_options=pyarrow.csv.ConvertOptions(column_types=kinds, null_values=["", "nan", "NaN", "NAN"], strings_can_be_null=False, check_utf8=False),
+            convert_options=pyarrow.csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), null_values=[], strings_can_be_null=False, check_utf8=False),
         )
     except (pa.ArrowInvalid, pa.ArrowKeyError):
         return None
-    if table.num_rows != len(lines):
-        return None
+    return table if table.num_rows == len(lines) else None
+
+
+def _number(text: pa.ChunkedArray, fits: pa.ChunkedArray, kind: pa.DataType) -> pa.ChunkedArray:
+    """Numbers of the texts that fit, nulls elsewhere."""
+    return pc.if_else(fits, pc.utf8_ltrim(text, "+"), pa.scalar(None, pa.string())).cast(kind)
+
+
+def _convert(table: pa.Table, names: list[str]) -> tuple[pa.Table, np.ndarray]:
+    """Typed columns, and which rows are valid beyond doubt; the others are diagnosed strictly."""
+    good = np.ones(table.num_rows, bool)
+    out = {}
     for n in names:
         column = table[n]
-        if n.startswith("coords."):
-            if column.null_count or not pc.all(pc.is_finite(column)).as_py():
-                return None
-        elif n == "values":
-            if not pc.all(pc.is_finite(column.drop_null())).as_py():
-                return None
-        elif n in WHOLE and column.null_count < len(column) and pc.max(column).as_py() > WHOLE[n]:
-            return None
-    return table
+        if not (n.startswith("coords.") or n == "values" or n in WHOLE):
+            out[n] = column
+            continue
+        text = pc.utf8_trim(column, BLANKS)
+        gone = pc.is_in(pc.utf8_lower(text), pa.array(["", "nan"]))
+        if n in WHOLE:
+            fits = pc.match_substring_regex(text, r"^\+?[0-9]{1,9}$")
+            value = _number(text, fits, pa.int64())
+            fits = pc.and_(fits, pc.fill_null(pc.less_equal(value, WHOLE[n]), False))
+        else:
+            fits = pc.match_substring_regex(text, rf"^{FINITE.pattern}$")
+            value = _number(text, fits, pa.float64())
+            fits = pc.and_(fits, pc.fill_null(pc.is_finite(value), False))
+        ok = fits if n.startswith("coords.") else pc.or_(fits, gone)
+        good &= ok.to_numpy(zero_copy_only=False) if isinstance(ok, pa.Array) else ok.to_numpy()
+        out[n] = value
+    return pa.table(out), good
 
 
 def _load(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], quoted: str, good: list, bad: list) -> None:
-    """Parse, or halve until it parses or is small, then diagnose."""
+    """Parse, or halve until it parses or is small; rows with doubtful values are diagnosed one by one."""
     if not len(lines):
         return
-    if len(lines) > SMALL or len(lines) == 0:
+    doubtful = lines
+    if len(lines) > SMALL:
         table = _parse_block(lines, sep, names, quoted)
-        if table is not None:
-            good.append((at, table))
+        if table is None:
+            half = len(lines) // 2
+            _load(lines[:half], at[:half], sep, names, quoted, good, bad)
+            _load(lines[half:], at[half:], sep, names, quoted, good, bad)
             return
-        half = len(lines) // 2
-        _load(lines[:half], at[:half], sep, names, quoted, good, bad)
-        _load(lines[half:], at[half:], sep, names, quoted, good, bad)
-        return
+        table, valid = _convert(table, names)
+        good.append((at[valid], table.filter(pa.array(valid))))
+        doubtful, at = lines.filter(pa.array(~valid)), at[~valid]
     rows, kept = [], []
-    for k, line in zip(at, lines.to_pylist()):
+    for k, line in zip(at, doubtful.to_pylist()):
         try:
             rows.append(diagnose(line, sep, names))
             kept.append(k)

@@ -88,17 +88,10 @@ def fit_log_mixture(bins: np.ndarray, counts: np.ndarray, offsets: np.ndarray, r
     return {"weights": weights, "shift": shift, "spread": spread}
 
 
-def _posterior(u: Column, fit: dict) -> dict[str, Column]:
-    """Posterior of each position unit at log ratio ``u``, as expressions."""
-    dens = {}
-    for unit, w in zip(POSITION_UNITS, fit["weights"]):
-        mean, s = fit["shift"] - math.log10(UNITS[unit]), fit["spread"]
-        z = (u - F.lit(mean)) / F.lit(s)
-        dens[unit] = F.lit(float(w) / (s * math.sqrt(2 * math.pi))) * F.exp(-0.5 * z * z)
-    total = F.lit(float(fit["weights"][-1]) / (2 * REACH))
-    for d in dens.values():
-        total = total + d
-    return {unit: d / total for unit, d in dens.items()}
+def _density(u: Column, unit: str, weight: float, fit: dict) -> Column:
+    """Weighted density of one component at log ratio ``u``."""
+    z = (u - F.lit(fit["shift"] - math.log10(UNITS[unit]))) / F.lit(fit["spread"])
+    return F.lit(float(weight) / (fit["spread"] * math.sqrt(2 * math.pi))) * F.exp(-0.5 * z * z)
 
 
 def stated_units(records: DataFrame, scans: DataFrame, sites: DataFrame) -> DataFrame:
@@ -171,21 +164,18 @@ def common_units(records: DataFrame, scans: DataFrame, sites: DataFrame, reach:
     bins = np.array([r["b"] * BIN for r in histogram], dtype=float)
     counts = np.array([r["count"] for r in histogram], dtype=float)
     fit = fit_log_mixture(bins, counts, np.array([-math.log10(UNITS[u]) for u in POSITION_UNITS]))
-    post = _posterior(F.col("_u"), fit)
-    df = df.withColumns({f"_p{i}": p for i, p in enumerate(post.values())})
-    inside = {u: _near(F.col("raw_e") * UNITS[u], F.col("raw_n") * UNITS[u], reach) for u in POSITION_UNITS}
+    each = list(enumerate(POSITION_UNITS))
+    df = df.withColumns({f"_d{i}": _density(F.col("_u"), u, fit["weights"][i], fit) for i, u in each} | {f"_in{i}": F.col("_u").isNotNull() & _near(F.col("raw_e") * UNITS[u], F.col("raw_n") * UNITS[u], reach) for i, u in each})
+    df = fence(df, *(f"_d{i}" for i, _ in each), *(f"_in{i}" for i, _ in each))
     # The most probable unit first; the exact reach decides, whatever the order.
-    best = F.greatest(*[F.col(f"_p{i}") for i in range(len(POSITION_UNITS))])
-    choice = F.coalesce(
-        *[F.when((F.col(f"_p{i}") == best) & inside[u], F.lit(u)) for i, u in enumerate(POSITION_UNITS)],
-        *[F.when(inside[u], F.lit(u)) for u in POSITION_UNITS],
-    )
-    confidence = F.coalesce(*[F.when(F.col("_unit") == u, F.col(f"_p{i}")) for i, u in enumerate(POSITION_UNITS)])
-    df = df.withColumn("_unit", F.when(F.col("_u").isNotNull(), choice))
-    df = fence(df, "_unit", *[f"_p{i}" for i in range(len(POSITION_UNITS))])
+    df = df.withColumns({"_best": F.greatest(*(F.col(f"_d{i}") for i, _ in each)), "_all": sum((F.col(f"_d{i}") for i, _ in each), F.lit(float(fit["weights"][-1]) / (2 * REACH)))})
+    choice = F.coalesce(*(F.when(F.col(f"_in{i}") & (F.col(f"_d{i}") == F.col("_best")), F.lit(i)) for i, _ in each), *(F.when(F.col(f"_in{i}"), F.lit(i)) for i, _ in each))
+    df = fence(df.withColumn("_which", choice), "_which", "_all")
+    picked = lambda values: F.coalesce(*(F.when(F.col("_which") == i, v) for i, v in enumerate(values)))
+    df = fence(df.withColumns({"_unit": picked([F.lit(u) for _, u in each]), "_p": picked([F.col(f"_d{i}") for i, _ in each]) / F.col("_all")}), "_unit", "_p")
     by_position = F.col("_unit").isNotNull()
     df = df.withColumns({
-        "h_unit": F.coalesce("_unit", "h"), "v_unit": F.coalesce("_unit", "v"), "confidence": F.when(by_position, confidence).when(F.col("fits"), F.lit(1.0)).otherwise(F.lit(0.0)),
+        "h_unit": F.coalesce("_unit", "h"), "v_unit": F.coalesce("_unit", "v"), "confidence": F.when(by_position, F.col("_p")).when(F.col("fits"), F.lit(1.0)).otherwise(F.lit(0.0)),
         "basis": F.when(F.col("raw_e").isNull() | F.col("raw_n").isNull(), F.lit("none")).when(by_position, F.lit("position")).when(F.col("by_remark"), F.lit("remark")).when(F.col("stated"), F.lit("system")).otherwise(F.lit("none")),
     })
     scale = metres(F.col("_unit"))

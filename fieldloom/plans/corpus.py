@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import badrows, proximity, units
+from fieldloom.plans.crs_sql import proximity_sql, units_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,4 +53,28 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_metres, p1_report, p2_found, p2_places, p5_found, p5_loaded)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": units_sql(),
+    "p2_found": proximity_sql(),
+    # Fields are taken by a pattern after the separator is put before the line; s is the separator as the pattern needs it.
+    "p5_found": r"""
+        WITH f AS (SELECT file_id, sep, CASE WHEN sep = '|' THEN '\|' ELSE sep END AS s FROM csvfiles),
+        h AS (
+            SELECT file_id, sep, s, list_transform(regexp_extract_all(sep || regexp_replace(regexp_replace(replace(line, chr(65279), ''), '\r$', ''), '^#? *', ''), s || '("(?:[^"]|"")*"|[^"' || s || ']*)', 1),
+                lambda n: trim(replace(n, '"', ''))) AS names
+            FROM csvlines JOIN f USING (file_id) WHERE line_no = 1),
+        l AS (SELECT file_id, line_no, regexp_replace(coalesce(line, ''), '\r$', '') AS line, sep, s, names FROM csvlines JOIN h USING (file_id) WHERE line_no > 1),
+        p AS (
+            SELECT *, regexp_full_match(line, '(?s)(?:[^"' || s || ']*|"(?:[^"]|"")*")(?:' || s || '(?:[^"' || s || ']*|"(?:[^"]|"")*"))*') AS quoted,
+                regexp_extract_all(sep || line, s || '("(?:[^"]|"")*"|[^"' || s || ']*)', 1) AS raw FROM l),
+        v AS (
+            SELECT *, list_transform(list_zip(names, raw), lambda z: {'n': z[1], 'v': trim(CASE WHEN starts_with(z[2], '"') THEN replace(z[2][2:-2], '""', '"') ELSE z[2] END, ' ' || chr(9))}) AS fields FROM p),
+        r AS (
+            SELECT file_id, line_no, CASE WHEN NOT quoted THEN 'quoting' WHEN len(raw) <> len(names) THEN 'column_count' WHEN len(list_filter(fields, lambda x: CASE
+                WHEN starts_with(x.n, 'coords.') THEN NOT regexp_full_match(x.v, '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?') OR NOT coalesce(isfinite(TRY_CAST(ltrim(x.v, '+') AS DOUBLE)), FALSE)
+                WHEN x.n = 'intensity' THEN lower(x.v) NOT IN ('', 'nan') AND NOT (regexp_full_match(x.v, '\+?[0-9]+') AND coalesce(TRY_CAST(ltrim(x.v, '+') AS BIGINT) <= 65535, FALSE))
+                WHEN x.n = 'classification' THEN lower(x.v) NOT IN ('', 'nan') AND NOT (regexp_full_match(x.v, '\+?[0-9]+') AND coalesce(TRY_CAST(ltrim(x.v, '+') AS BIGINT) <= 255, FALSE))
+                WHEN x.n = 'values' THEN lower(x.v) NOT IN ('', 'nan') AND (NOT regexp_full_match(x.v, '[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?') OR NOT coalesce(isfinite(TRY_CAST(ltrim(x.v, '+') AS DOUBLE)), FALSE))
+                ELSE FALSE END)) > 0 THEN 'invalid_value' END AS reason FROM v)
+        SELECT file_id, line_no, reason FROM r WHERE reason IS NOT NULL""",
+}

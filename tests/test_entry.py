@@ -1,10 +1,10 @@
 """Every query with SQL equals it at the smallest scale, where the tables are at hand."""
 
-import math
 import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,13 +15,13 @@ SQL = entry.oracle_sql()
 
 def rows(frame):
     def value(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if isinstance(v, (list, np.ndarray)):
+            return tuple(map(float, v))
+        if pd.isna(v):
             return None
-        if isinstance(v, (float, np.floating)):
+        if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, (bool, np.bool_)):
             return round(float(v), 5) + 0.0
-        if isinstance(v, (list, np.ndarray)):
-            return tuple(np.asarray(v).tolist())
-        return int(v) if isinstance(v, (int, np.integer)) and not isinstance(v, (bool, np.bool_)) else str(v)
+        return str(v)
 
     return sorted(repr(tuple(value(v) for v in row)) for row in frame[sorted(frame.columns)].itertuples(index=False, name=None))
 

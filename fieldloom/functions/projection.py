@@ -268,8 +268,8 @@ def _tm_inverse(east: np.ndarray, north: np.ndarray, lon0: np.ndarray, k0: np.nd
     return lon0 + np.degrees(np.arctan2(np.sinh(eta1), np.cos(xi1))), np.degrees(lat)
 
 
-def _tm_forward(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    delta, sin_lat = np.radians(lon - 9.0), np.sin(np.radians(np.where(np.abs(lat) < 89.9, lat, np.nan)))
+def _tm_forward(lon: np.ndarray, lat: np.ndarray, lon0: float = 9.0) -> tuple[np.ndarray, np.ndarray]:
+    delta, sin_lat = np.radians(lon - lon0), np.sin(np.radians(np.where(np.abs(lat) < 89.9, lat, np.nan)))
     t = np.sinh(np.arctanh(sin_lat) - _ECC * np.arctanh(_ECC * sin_lat))
     xi, eta = np.arctan2(t, np.cos(delta)), np.arcsinh(np.sin(delta) / np.hypot(t, np.cos(delta)))
     east, north = eta.copy(), xi.copy()
@@ -327,10 +327,13 @@ def with_east_north(df: DataFrame, x: Column, y: Column, kind: Column, lon0: Col
 
 
 def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
-    """x and y from one named system to another, as expressions.
+    """x and y from one named system to another.
 
     Systems are EPSG:4326 and EPSG:4258 (degrees), EPSG:3857 and the UTM zones
-    of WGS 84 and ETRS89, in any spelling that ``parse_proj`` reads.
+    of WGS 84 and ETRS89, in any spelling that ``parse_proj`` reads. To and from
+    degrees and spherical Mercator, and from these to a zone, the results are
+    plain expressions. From a zone they come from one vectorised Arrow call, as
+    the nested series would make an expression of many thousand nodes.
     """
     a, b = parse_proj(source), parse_proj(target)
     if a is None or b is None:
@@ -342,17 +345,54 @@ def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, C
     scale = UNITS.get(a["h"], 1.0)
     x, y = (x * scale, y * scale) if scale != 1 else (x, y)
     if a["kind"] == "tm":
-        lon, lat = tm_to_lonlat(x - a["x0"] + UTM_EAST, y - a["y0"], a["lon0"], a["k0"])
+        both = _from_zone(a, b)(x, y)
+        east, north = both["x"], both["y"]
     else:
         lon, lat = mercator_to_lonlat(x, y) if a["kind"] == "merc" else (x, y)
-    if b["kind"] == "tm":
-        east, north = lonlat_to_tm(lon, lat, b["lon0"], b["k0"], b["x0"])
-        east, north = east / UNITS[b["h"]], (north + b["y0"]) / UNITS[b["h"]]
-    else:
-        east, north = lonlat_to_mercator(lon, lat) if b["kind"] == "merc" else (lon, lat)
+        if b["kind"] == "tm":
+            east, north = lonlat_to_tm(lon, lat, b["lon0"], b["k0"], b["x0"])
+            east, north = east / UNITS[b["h"]], (north + b["y0"]) / UNITS[b["h"]]
+        else:
+            east, north = lonlat_to_mercator(lon, lat) if b["kind"] == "merc" else (lon, lat)
     return (north, east) if b["swap"] else (east, north)
 
 
+def _from_zone(a: dict, b: dict):  # noqa: ANN202
+    """Arrow function from metres of one zone to another system."""
+
+    @F.pandas_udf(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in batches:
+            east, north = x.to_numpy(float, na_value=np.nan), y.to_numpy(float, na_value=np.nan)
+            full = lambda v: np.full(len(east), float(v))  # noqa: E731, B023
+            with np.errstate(all="ignore"):
+                lon, lat = _tm_inverse(east, north, full(a["lon0"]), full(a["k0"]), full(a["x0"]), full(a["y0"]))
+                if b["kind"] == "merc":
+                    lon, lat = SPHERE * np.radians(lon), SPHERE * np.log(np.tan(math.pi / 4 + np.radians(lat) / 2))
+                elif b["kind"] == "tm":
+                    lon, lat = _tm_forward(lon, lat, b["lon0"])
+                    lon, lat = ((lon - UTM_EAST) * b["k0"] / UTM_SCALE + b["x0"]) / UNITS[b["h"]], (lat * b["k0"] / UTM_SCALE + b["y0"]) / UNITS[b["h"]]
+            yield pd.DataFrame({"x": lon, "y": lat})
+
+    return run
+
+
+def wkt(code: int) -> str:
+    """WKT of the systems known here; ``parse_proj`` reads it back."""
+    said = parse_proj(f"EPSG:{code}")
+    if said is None:
+        raise ValueError(f"EPSG:{code} is not known")
+    globe = code == 4326 or 32600 < code < 32700 or said["kind"] == "merc"
+    name, datum, ball, inverse = ("WGS 84", "WGS_1984", "WGS 84", 298.257223563) if globe else ("ETRS89", "European_Terrestrial_Reference_System_1989", "GRS 1980", 298.257222101)
+    base = f'GEOGCS["{name}",DATUM["{datum}",SPHEROID["{ball}",6378137,{inverse}]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]]'
+    if said["kind"] == "geo":
+        return base
+    if said["kind"] == "merc":
+        return f'PROJCS["{name} / Pseudo-Mercator",{base},PROJECTION["Mercator_1SP"],PARAMETER["central_meridian",0],UNIT["metre",1],AUTHORITY["EPSG","{code}"]]'
+    zone = round((said["lon0"] + 183) / 6)
+    return f'PROJCS["{name} / UTM zone {zone}N",{base},PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",{said["lon0"]:g}],PARAMETER["scale_factor",{UTM_SCALE}],PARAMETER["false_easting",{UTM_EAST:g}],PARAMETER["false_northing",0],UNIT["metre",1]]'
+
+
 def epsg(code: int) -> str:
     """proj4 text of the systems known here."""
     said = parse_proj(f"EPSG:{code}")

@@ -205,8 +205,11 @@ def sphere_sums(df: DataFrame, axes: Sequence[str], group: Sequence[str] = (), w
     """Normal equations of the algebraic sphere fit by group, about the group's mean."""
     dim = len(axes)
     keys = list(group)
-    mean = df.groupBy(*keys).agg(*(F.avg(a).alias(f"c{i}") for i, a in enumerate(axes)))
-    rows = df.join(mean, keys) if keys else df.join(F.broadcast(mean))
+    if keys:
+        rows = df.join(df.groupBy(*keys).agg(*(F.avg(a).alias(f"c{i}") for i, a in enumerate(axes))), keys)
+    else:
+        centre = centre_of(df, axes) or [0.0] * dim
+        rows = df.withColumns({f"c{i}": F.lit(float(c)) for i, c in enumerate(centre)})
     # Weights multiply equations, so their squares multiply the sums.
     w = F.col(weight) * F.col(weight) if weight else F.lit(1.0)
     local = [F.col(a) - F.col(f"c{i}") for i, a in enumerate(axes)] + [F.lit(1.0)]

@@ -39,6 +39,9 @@ def _cell_join(q: DataFrame, r: DataFrame, dim: int, reach: Column, edge: Sequen
         spread = spread.withColumn(c, F.explode(F.sequence(low, high)))
     if skew:
         hot = home.groupBy(*cells).count().where(F.col("count") > HOT).select(*cells, F.least(F.ceil(F.col("count") / HOT), F.lit(1024)).cast("int").alias("_n"))
+        skew = bool(hot.take(1))
+    if skew:
+        hot = checkpoint(hot)
         one = F.coalesce(F.col("_n"), F.lit(1))
         home = sized_join(home, hot, cells, "left", salt_by="r_id").withColumn("_salt", F.pmod(F.xxhash64("r_id"), one).cast("int")).drop("_n")
         spread = sized_join(spread, hot, cells, "left", salt_by="q_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")

@@ -117,6 +117,15 @@ def test_parse_proj(text, kind, unit):
     assert (said["kind"], said["h"]) == (kind, unit)
 
 
+@pytest.mark.parametrize("code", [4326, 3857, 25832, 32633])
+def test_wkt(code):
+    said, back = projection.parse_proj(f"EPSG:{code}"), projection.parse_proj(projection.wkt(code))
+    assert back["kind"] == said["kind"] and back["h"] == said["h"]
+    if said["kind"] == "tm":
+        assert (back["lon0"], back["k0"], back["x0"]) == (said["lon0"], said["k0"], said["x0"])
+    assert projection.parse_proj(projection.epsg(code))["kind"] == said["kind"]
+
+
 def test_parse_unknown():
     assert projection.parse_proj(None) is None and projection.parse_proj("") is None and projection.parse_proj("?") is None
     assert projection.parse_remark(None) is None and projection.parse_remark("Flown at 900 ft above ground, point spacing 8 cm.") is None

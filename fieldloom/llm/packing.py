@@ -72,11 +72,15 @@ def packed(sizes: DataFrame, containers: DataFrame, id: str = "doc_id", share: i
     null or not positive, with piece 0 and all their tokens. Repeated ids are
     packed as documents of their own.
     """
-    if containers.count() > KINDS:
+    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens")).limit(KINDS + 1).collect()
+    if len(kinds) > KINDS:
         raise ValueError(f"more than {KINDS} kinds of containers")
-    kinds = containers.select("container_kind", F.col("capacity_tokens").cast("bigint").alias("capacity_tokens"))
     shares = max(1, -(-sizes.count() // share))
-    each = sizes.select(F.col(id).alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("_n")).join(F.broadcast(kinds))
+    # A bounded list, so every document is repeated for each kind without a join.
+    listed = F.array(*(F.struct(F.lit(k["container_kind"]).cast("string").alias("container_kind"), F.lit(k["capacity_tokens"]).cast("bigint").alias("capacity_tokens")) for k in kinds))
+    if not kinds:
+        listed = F.lit(None).cast("array<struct<container_kind:string,capacity_tokens:bigint>>")
+    each = sizes.select(F.col(id).alias("doc_id"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("_n"), F.explode(listed).alias("_k")).select("doc_id", "_n", "_k.*")
     usable = (F.col("_n") > 0) & (F.coalesce("capacity_tokens", F.lit(0)) > 0)
     whole = F.when(usable, F.floor(F.col("_n") / F.col("capacity_tokens"))).otherwise(F.lit(0)).cast("bigint")
     each = each.withColumn("_full", whole)

@@ -305,25 +305,29 @@ def min_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.min_filter(ev2(spark, sf_dir), AXES, "y", 1.5)
 
 
-GREEDY = f"""WITH RECURSIVE {EV2}, p AS ({near_sql("ev2", "ev2", "1.0", "a.id <> b.id")}),
-    e AS (SELECT q_id AS src, r_id AS dst FROM p WHERE ay > by_ OR (ay = by_ AND q_id > r_id)),
-    st(id, status) USING KEY (id) AS (
-        SELECT id, 'U' FROM ev2
-        UNION
-        SELECT u.id, CASE WHEN bool_or(coalesce(s.status, 'R') = 'S') THEN 'R' ELSE 'S' END
-        FROM recurring.st u LEFT JOIN e ON e.dst = u.id LEFT JOIN recurring.st s ON s.id = e.src WHERE u.status = 'U' GROUP BY u.id
-        HAVING bool_or(coalesce(s.status, 'R') = 'S') OR bool_and(coalesce(s.status, 'R') = 'R'))"""
+def _greedy_sql(rounds: int = 12) -> str:
+    """The greedy walk in rounds, each a few plain CTEs; enough rounds for the events of the correctness scale."""
+    parts = [f"""WITH {EV2}, p AS MATERIALIZED ({near_sql("ev2", "ev2", "1.0", "a.id <> b.id")}),
+    e0 AS MATERIALIZED (SELECT q_id AS src, r_id AS dst FROM p WHERE ay > by_ OR (ay = by_ AND q_id > r_id)), u0 AS MATERIALIZED (SELECT id FROM ev2)"""]
+    for i in range(rounds):
+        parts.append(f"""s{i} AS MATERIALIZED (SELECT id FROM u{i} WHERE id NOT IN (SELECT dst FROM e{i})),
+    u{i + 1} AS MATERIALIZED (SELECT id FROM u{i} WHERE id NOT IN (SELECT id FROM s{i}) AND id NOT IN (SELECT dst FROM e{i} WHERE src IN (SELECT id FROM s{i}))),
+    e{i + 1} AS MATERIALIZED (SELECT src, dst FROM e{i} WHERE src IN (SELECT id FROM u{i + 1}) AND dst IN (SELECT id FROM u{i + 1}))""")
+    return ", ".join(parts) + ", kept AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT id FROM s{i}" for i in range(rounds)) + ")"
 
 
-@query(f"{GREEDY} SELECT id FROM st WHERE status = 'S'")
+GREEDY = _greedy_sql()
+
+
+@query(f"{GREEDY} SELECT id FROM kept")
 def ball_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.greedy_ball(ev2(spark, sf_dir), AXES, 1.0)
 
 
 @query(f"""{GREEDY}, k AS (SELECT q_id, r_id, row_number() OVER (PARTITION BY q_id ORDER BY by_ DESC, r_id DESC) AS n FROM (SELECT * FROM p UNION ALL SELECT id, id, 0, x, y, x, y FROM ev2)
-    WHERE q_id IN (SELECT id FROM st WHERE status = 'S')) SELECT DISTINCT r_id AS id FROM k WHERE n = 1""")
+    WHERE q_id IN (SELECT id FROM kept)) SELECT DISTINCT r_id AS id FROM k WHERE n = 1""")
 def surface_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.surface(ev2(spark, sf_dir).withColumn("y", F.col("y")), AXES, 1.0)
+    return filters.surface(ev2(spark, sf_dir), AXES, 1.0)
 
 
 @query()
@@ -336,8 +340,8 @@ def dem_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dbscan_sql(eps: str, least: int) -> str:
     return f"""WITH RECURSIVE {EV2}, p AS ({near_sql("ev2", "ev2", eps)}), core AS (SELECT q_id AS id FROM p GROUP BY 1 HAVING count(*) >= {least}),
     e AS (SELECT q_id AS a, r_id AS b FROM p WHERE q_id IN (SELECT id FROM core) AND r_id IN (SELECT id FROM core)),
-    cc(id, l) USING KEY (id) AS (SELECT id, id FROM core UNION SELECT e.a, min(f.l) FROM e JOIN cc f ON f.id = e.b JOIN recurring.cc o ON o.id = e.a GROUP BY e.a, o.l HAVING min(f.l) < o.l),
-    lab AS (SELECT id, dense_rank() OVER (ORDER BY l) - 1 AS label FROM cc)
+    reach(id, l) AS (SELECT id, id FROM core UNION SELECT e.b, r.l FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
+    lab AS (SELECT id, dense_rank() OVER (ORDER BY min(l)) - 1 AS label FROM reach GROUP BY id)
     SELECT ev2.id, coalesce(min(lab.label), -1) AS label, bool_or(core.id IS NOT NULL) AS core FROM ev2 LEFT JOIN p ON p.q_id = ev2.id LEFT JOIN lab ON lab.id = p.r_id
     LEFT JOIN core ON core.id = ev2.id GROUP BY ev2.id"""
 

@@ -114,10 +114,8 @@ SQL = {
         e AS (
             SELECT a.rec_id AS a, b.rec_id AS b FROM q a JOIN p b ON a.k = b.k AND a.jx = b.cx AND a.jy = b.cy AND a.rec_id <> b.rec_id
             WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 0.36),
-        cc(id, l) USING KEY (id) AS (
-            SELECT rec_id, rec_id FROM p
-            UNION
-            SELECT e.a, min(f.l) FROM e JOIN cc f ON f.id = e.b JOIN recurring.cc o ON o.id = e.a GROUP BY e.a, o.l HAVING min(f.l) < o.l),
+        reach(id, l) AS (SELECT rec_id, rec_id FROM p UNION SELECT e.b, r.l FROM reach r JOIN e ON e.a = r.id WHERE r.l < e.b),
+        cc AS (SELECT id, min(l) AS l FROM reach GROUP BY id),
         s AS (SELECT l, count(*) AS n FROM cc GROUP BY l)
         SELECT cc.l AS cluster_id, cc.id AS rec_id FROM cc JOIN s ON s.l = cc.l WHERE s.n >= 8""",
     "p4_found": """

@@ -18,6 +18,8 @@ from fieldloom.functions.distance import sdist
 from fieldloom.operators.frame import Extent
 from fieldloom.session import checkpoint, sized_join
 
+#: Reference rows at one position above which only those of smallest id stay in nearest-neighbour joins.
+CROWD = 64
 #: Reference rows of one cell above which the cell is joined by salts.
 HOT = 5000
 
@@ -140,7 +142,8 @@ def knn(
     the reference of the same id. Queries are answered in rounds of doubling
     radius, starting from what the density suggests: a query is finished when
     its k-th neighbour lies within the radius. With fewer than k references,
-    all of them are returned.
+    all of them are returned. Of a position with many references only those that
+    ties can choose take part, so repeated rows do not multiply.
     """
     dim = len(axes)
     most = F.col("q_" + k) if isinstance(k, str) else F.lit(k)
@@ -159,6 +162,7 @@ def knn(
     count = r.count()
     wide = [max(h - lo, 1e-9) for lo, h in zip(stats[1].low, stats[1].high)]
     number = q.agg(F.max(most).alias("m")).first()["m"] or 1
+    r = _thin_positions(r, dim, number + 1)
     if start is None:
         volume = 1.0
         for w in wide:
@@ -190,6 +194,25 @@ def knn(
         radius = min(2 * radius, limit)
 
 
+def _thin_positions(r: DataFrame, dim: int, keep: int) -> DataFrame:
+    """The rows that can be among the nearest: of a crowded position, the ``keep`` smallest ids.
+
+    Rows at one position are equally far from any query and ties go to the
+    smaller id, so no others are ever asked for (one more than k, as a query may
+    be one of them). They are ranked in shares first.
+    """
+    at = [f"r_{i}" for i in range(dim)]
+    most = max(CROWD, keep)
+    crowded = r.groupBy(*at).count().where(F.col("count") > most).select(*at, F.lit(True).alias("_crowd"))
+    if not crowded.take(1):
+        return r
+    marked = sized_join(r, checkpoint(crowded), at, "left", salt_by="r_id")
+    shares = marked.where("_crowd").withColumn("_share", F.pmod(F.xxhash64("r_id"), F.lit(64)))
+    for keys in ([*at, "_share"], at):
+        shares = shares.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("r_id"))).where(F.col("_i") <= keep)
+    return checkpoint(marked.where("_crowd is null").select(*r.columns).unionByName(shares.select(*r.columns)))
+
+
 def nearest_other(df: DataFrame, axes: Sequence[str], id: str = "id", ids: DataFrame | None = None) -> DataFrame:
     """Nearest other row of every row, or of the rows in ``ids``: q_id, r_id, sd."""
     asked = df if ids is None else df.join(ids.select(id).distinct(), id, "left_semi")

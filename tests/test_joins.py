@@ -103,6 +103,20 @@ def test_hot_cell_is_salted(frame, monkeypatch):
     assert got == {(i, j) for i, p in enumerate(at) for j, q in enumerate(at) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 0.09}
 
 
+def test_crowded_position(frame):
+    """A third of the rows at one place: the smallest ids answer ties, and a row is not its own neighbour."""
+    rng = np.random.default_rng(4)
+    at = [tuple(map(float, p)) for p in rng.integers(0, 30, (160, 2))]
+    at[::2] = [(7.0, 7.0)] * 80
+    df = frame(at)
+    got = {}
+    for r in joins.knn(df, df, AXES, 3, exclude_self=True).collect():
+        got.setdefault(r["q_id"], []).append((r["rank"], r["r_id"]))
+    for i, p in enumerate(at):
+        want = sorted(((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2, j) for j, q in enumerate(at) if j != i)[:3]
+        assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(-8, 8), st.integers(-8, 8)), min_size=1, max_size=25), st.sampled_from([0.5, 1.0, 2.0, 5.0]))
 def test_ball_equals_theta(frame, points, r):

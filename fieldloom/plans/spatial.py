@@ -381,8 +381,10 @@ def class_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT i AS id, coalesce(p_size, -1) AS label FROM generate_series(0, 2999) g(i) LEFT JOIN part ON p_partkey = i""")
 def dict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    classes = cluster.class_dict(read(spark, sf_dir, "part").where("p_partkey < 3000"), "p_partkey", "p_size")
-    return cluster.dict_classes(classes, 3000)
+    """Labels of all ids of the table; at least the 3,000 of the SQL, which ends there."""
+    part = read(spark, sf_dir, "part")
+    last = part.agg(F.max("p_partkey").alias("last")).first()["last"]
+    return cluster.dict_classes(cluster.class_dict(part, "p_partkey", "p_size"), max(3000, (-1 if last is None else last) + 1))
 
 
 @query(f"WITH {EV2} SELECT id, CAST(y >= 1 AS INT) + CAST(y >= 10.5 AS INT) + CAST(y >= 40 AS INT) AS part FROM ev2")

@@ -1,5 +1,6 @@
 """Queries and operators do the whole job: no prefix of ids, no capped rounds."""
 
+from fieldloom.operators import filters
 from fieldloom.plans import spatial
 
 
@@ -8,3 +9,10 @@ def test_dict_classes_takes_all_ids(spark, tmp_path):
     spark.createDataFrame(list(enumerate(sizes)), "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["id"]: r["label"] for r in spatial.dict_classes(spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(sizes))
+
+
+def test_dem_filter_takes_wide_patches(frame):
+    """A raised strip that loses about one row of points a round."""
+    at = [(x * 0.6, y * 0.6, 0.01 * (x * y % 3) + (1000.0 if x >= 6 else 0.0)) for x in range(66) for y in range(4)]
+    kept = [r["id"] for r in filters.dem_filter(frame(at), ["x", "y", "z"], 0.5, tile=1000.0).collect()]
+    assert kept and max(kept) < 24

@@ -379,6 +379,12 @@ def class_dict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.class_dict(read(spark, sf_dir, "part"), "p_partkey", "p_size", 10, 45)
 
 
+@query("SELECT p_size AS label, list_sort(list(p_partkey)) AS ids FROM part WHERE p_size <> -1 GROUP BY 1")
+def class_dict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without bounds of size: all labels at every scale."""
+    return cluster.class_dict(read(spark, sf_dir, "part"), "p_partkey", "p_size")
+
+
 @query("""SELECT i AS id, coalesce(p_size, -1) AS label FROM generate_series(0, 2999) g(i) LEFT JOIN part ON p_partkey = i""")
 def dict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of all ids of the table; at least the 3,000 of the SQL, which ends there."""

@@ -16,11 +16,13 @@ loop over groups. Sketches are rows, so partitions, scans and days combine by
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,7 +82,9 @@ def compact(group: np.ndarray, level: np.ndarray, value: np.ndarray, groups: int
 class _Partition:
     """The sketches of all groups that a partition has seen."""
 
-    def __init__(self, keys: list[str], k: int, seed: int) -> None:
+    def __init__(self, keys: list[str], k: int, step: int) -> None:
+        # The bound needs starts that are independent between partitions and steps; a retried task takes the same ones.
+        seed = [zlib.crc32("|".join(keys).encode()), step, TaskContext.get().partitionId()]
         self.keys, self.k, self.rng = keys, k, np.random.default_rng(seed)
         self.frame: pd.DataFrame | None = None  # keys, n, err2 by group
         self.parts: list[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -162,11 +166,11 @@ def _groups(rows: pd.DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray
     return code, first
 
 
-def _merge_here(sketches: DataFrame, keys: list[str], k: int) -> DataFrame:
+def _merge_here(sketches: DataFrame, keys: list[str], k: int, step: int) -> DataFrame:
     """Merge the sketches that lie in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, kinds = _Partition(keys, k, 2), {}
+        state, kinds = _Partition(keys, k, step), {}
         for batch in batches:
             table = pa.Table.from_batches([batch])
             kinds = {n: table.schema.field(n).type for n in keys}
@@ -187,11 +191,11 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str], fan_in: int = 64, k
     content and then once more, so that no task gets all parts of a hot group.
     """
     keys = list(keys)
-    here = _merge_here(sketches, keys, k)
+    here = _merge_here(sketches, keys, k, 2)
     width = max(1, min(fan_in, int(sketches.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shared = here.withColumn("_share", F.pmod(F.xxhash64("n", "err2", F.slice("items", 1, 4)), F.lit(width)))
-    once = _merge_here(shared.repartition(*keys, "_share"), keys, k)
-    return _merge_here(once.repartition(*keys), keys, k)
+    once = _merge_here(shared.repartition(*keys, "_share"), keys, k, 3)
+    return _merge_here(once.repartition(*keys), keys, k, 4)
 
 
 def _positions(items: np.ndarray, weight: np.ndarray, owner: np.ndarray, groups: int, rank: np.ndarray) -> np.ndarray:
@@ -241,13 +245,24 @@ def quantiles(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], del
 
 
 def exact_medians(rows: DataFrame, bounds: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Exact medians of the groups in ``bounds`` (keys, lo, hi), whose interval holds the median.
+    """Exact medians of the groups in ``bounds`` (keys, lo, hi), whose interval should hold the median.
 
     Rows below the interval are counted, those inside by value; both are partial
     sums before the shuffle. Only the values inside are ordered, at most 65,536
-    different ones for 16-bit values.
+    different ones for 16-bit values. Groups whose median lies outside are
+    counted again over their full range.
     """
     keys = list(keys)
+    found = checkpoint(_medians_within(rows, bounds, keys, value))
+    inside = F.abs("median") < float("inf")
+    missed = found.where(~inside).select(*keys, F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
+    if not missed.take(1):
+        return found
+    return found.where(inside).unionByName(_medians_within(rows, missed, keys, value))
+
+
+def _medians_within(rows: DataFrame, bounds: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same, with an infinite or NaN median where it lies outside its interval."""
     inside = sized_join(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), bounds.select(*keys, "lo", "hi"), keys, "inner", salt_by="_v")
     place = F.when(F.col("_v") < F.col("lo"), F.lit(float("-inf"))).when(F.col("_v") > F.col("hi"), F.lit(float("inf"))).otherwise(F.col("_v"))
     counts = inside.withColumn("_v", place).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))

@@ -569,9 +569,9 @@ def normals_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cylinder_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cylinder for the returns of each site and class of the forest scan; groups are sites."""
-    got = estimate.fit_cylinders(fs3(spark, sf_dir).where("classification = 5"), ["x", "y", "z"], ["site_id"], (0.0, 0.0, 1.0), 20)
-    return got.select("site_id", "radius", "residual")
+    """A cylinder for the returns of each site and class of the forest scan."""
+    got = estimate.fit_cylinders(fs3(spark, sf_dir).where("classification is not null"), ["x", "y", "z"], ["site_id", "classification"], (0.0, 0.0, 1.0))
+    return got.select("site_id", "classification", "radius", "residual")
 
 
 @query()

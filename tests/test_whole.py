@@ -1,5 +1,9 @@
 """Queries and operators do the whole job: no prefix of ids, no capped rounds."""
 
+import os
+
+import pytest
+
 import __spark_entry__ as entry
 from fieldloom.operators import filters
 from fieldloom.plans import spatial
@@ -24,3 +28,12 @@ def test_class_dict_all_has_large_labels(spark, tmp_path):
     spark.createDataFrame(list(enumerate(sizes)), "p_partkey bigint, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {r["label"]: r["ids"] for r in entry.queries()["class_dict_all"](spark, str(tmp_path)).collect()}
     assert got == {label: list(range(label, 2000, 5)) for label in range(5)}
+
+
+def test_cylinder_fit_takes_all_classes(spark):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    rows = spatial.fs3(spark, folder).where("classification is not null").select("site_id", "classification").distinct()
+    got = spatial.cylinder_fit(spark, folder).select("site_id", "classification")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in rows.collect()}

@@ -211,7 +211,8 @@ def quantiles(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], del
     """Percentiles of every sketch, with value bounds that hold with probability 1 - ``delta``.
 
     For each q at index i: ``q{i}`` (linear between neighbouring ranks), and
-    ``q{i}_lo``, ``q{i}_hi``; ``rank_error`` is the bound in rows, 0 if exact.
+    ``q{i}_lo``, ``q{i}_hi``, the values at the ranks below and above, moved out
+    by ``rank_error`` rows (0 if the sketch is exact).
     """
     keys, qs = list(keys), [float(q) for q in qs]
     names = [f"q{i}{s}" for i in range(len(qs)) for s in ("", "_lo", "_hi")]
@@ -237,8 +238,7 @@ def quantiles(sketches: DataFrame, keys: Sequence[str], qs: Sequence[float], del
                 mid = low + (high - low) * (at - np.floor(at))
                 out = out.append_column(f"q{i}", pa.array(mid))
                 for name, rank in ((f"q{i}_lo", np.floor(at) - slack), (f"q{i}_hi", np.ceil(at) + slack)):
-                    edge = _positions(v, w, owner, len(size), rank)
-                    out = out.append_column(name, pa.array(np.where(slack > 0, edge, mid)))
+                    out = out.append_column(name, pa.array(_positions(v, w, owner, len(size), rank)))
             yield from out.to_batches()
 
     return sketches.select(*keys, "n", "err2", "items", "levels").mapInArrow(run, schema)
@@ -291,17 +291,36 @@ def unusual_groups(records: DataFrame, least: int = 50, factor: float = 2.0) ->
     """
     by_scan = checkpoint(group_sketches(records))
     by_class = merge_sketches(by_scan, ["classification"])
-    whole = quantiles(by_class, ["classification"], [0.5]).select("classification", F.col("q0_lo").alias("lo"), F.col("q0_hi").alias("hi"))
     # Classifications are 16-bit numbers: at most 65,536 rows.
-    whole = checkpoint(whole)
-    exact = checkpoint(exact_medians(records, whole, ["classification"], "intensity"))
+    whole = checkpoint(quantiles(by_class, ["classification"], [0.5]).select("classification", "rank_error", F.col("q0").alias("median"), F.col("q0_lo").alias("lo"), F.col("q0_hi").alias("hi")))
+    sure = whole.where("rank_error = 0").select("classification", "median")
+    exact = checkpoint(sure.unionByName(exact_medians(records, whole.where("rank_error > 0"), ["classification"], "intensity")))
     groups = quantiles(by_scan, ["scan_id", "classification"], [0.5]).where((F.col("n") >= least) & F.col("scan_id").isNotNull())
-    judged = groups.join(F.broadcast(exact), "classification")
+    judged = sized_join(groups, exact, ["classification"], salt_by="scan_id")
     far = lambda low, high: (low >= factor * F.col("median")) | (high * factor <= F.col("median"))
-    lo, hi = F.col("q0_lo"), F.col("q0_hi")
-    judged = judged.withColumns({"_yes": far(lo, hi), "_maybe": far(hi, lo)})
-    judged = checkpoint(judged)
-    doubt = judged.where("_maybe and not _yes").select("scan_id", "classification", lo.alias("lo"), hi.alias("hi"), F.col("median").alias("whole"))
+    # A sketch that was never compacted knows its median; it leaves no doubt.
+    lo, hi = (F.when(F.col("rank_error") == 0, F.col("q0")).otherwise(F.col(c)) for c in ("q0_lo", "q0_hi"))
+    judged = checkpoint(judged.withColumns({"_yes": far(lo, hi), "_maybe": far(hi, lo)}))
+    doubt = judged.where("_maybe and not _yes").select("scan_id", "classification", F.col("q0_lo").alias("lo"), F.col("q0_hi").alias("hi"), F.col("median").alias("whole"))
     checked = exact_medians(records, doubt, ["scan_id", "classification"], "intensity").join(doubt.select("scan_id", "classification", "whole"), ["scan_id", "classification"])
     late = checked.where((F.col("median") >= factor * F.col("whole")) | (F.col("median") * factor <= F.col("whole")))
     return judged.where("_yes").select("scan_id", "classification").unionByName(late.select("scan_id", "classification"))
+
+
+def rank_check(rows: DataFrame, found: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float]) -> DataFrame:
+    """Whether every percentile in ``found`` (from ``quantiles``) keeps its rank bound: keys, n, kept.
+
+    The rows are counted against the estimates by partial sums: for each
+    percentile the rows below and not above it. It keeps its bound if a rank
+    within ``rank_error`` of the asked one lies between the two counts.
+    """
+    keys = list(keys)
+    body = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).where(~F.isnan("_v"))
+    met = sized_join(body, found.select(*keys, "rank_error", *(f"q{i}" for i in range(len(qs)))), keys, salt_by="_v")
+    sums = [f(F.when(c, 1).otherwise(0)).alias(n) for i in range(len(qs)) for f, c, n in ((F.sum, F.col("_v") < F.col(f"q{i}"), f"_b{i}"), (F.sum, F.col("_v") <= F.col(f"q{i}"), f"_t{i}"))]
+    counted = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("rank_error").alias("_e"), *sums)
+    kept = F.lit(True)
+    for i, q in enumerate(qs):
+        at = (F.col("n") - 1) * F.lit(float(q))
+        kept = kept & (F.col(f"_b{i}") <= F.ceil(at) + F.col("_e")) & (F.col(f"_t{i}") >= F.floor(at) + 1 - F.col("_e") - F.when(F.col("_e") == 0, 1).otherwise(0))
+    return counted.select(*keys, "n", kept.alias("kept"))

@@ -54,6 +54,15 @@ def p4_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(percentiles.quantiles(percentiles.merge_sketches(dated, keys), keys, SHARES), keys)
 
 
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the percentiles of every scan and classification keep their rank bounds, by exact counts."""
+    keys, rows = ["scan_id", "classification"], table(spark, sf_dir, "georecords").where("classification is not null and intensity is not null")
+    found = checkpoint(percentiles.quantiles(percentiles.group_sketches(rows), keys, SHARES))
+    by_scan = percentiles.rank_check(rows.where("scan_id is not null"), found, keys, "intensity", SHARES)
+    merged = percentiles.quantiles(percentiles.merge_sketches(percentiles.group_sketches(rows), keys[1:]), keys[1:], SHARES)
+    return by_scan.unionByName(percentiles.rank_check(rows, merged, keys[1:], "intensity", SHARES).withColumn("scan_id", F.lit(-1).cast("bigint")))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, sf_dir, "shapevectors"))
 
@@ -103,7 +112,7 @@ def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
 
 SQL = {
     "p3_found": """
@@ -123,6 +132,10 @@ SQL = {
         c AS (SELECT classification, median(intensity) AS m FROM b GROUP BY classification),
         g AS (SELECT scan_id, classification, median(intensity) AS m FROM b WHERE scan_id IS NOT NULL GROUP BY scan_id, classification HAVING count(*) >= 50)
         SELECT g.scan_id, g.classification FROM g JOIN c ON c.classification = g.classification WHERE g.m >= 2 * c.m OR 2 * g.m <= c.m""",
+    "p4_bounds": """
+        WITH b AS (SELECT scan_id, classification FROM georecords WHERE classification IS NOT NULL AND intensity IS NOT NULL)
+        SELECT scan_id, classification, count(*) AS n, TRUE AS kept FROM b WHERE scan_id IS NOT NULL GROUP BY 1, 2
+        UNION ALL SELECT -1, classification, count(*), TRUE FROM b GROUP BY 2""",
     "p6_found": """
         WITH v AS (
             SELECT vec_id, coords FROM shapevectors

@@ -1,11 +1,12 @@
 """Load delimited lines in bulk and separate those that fail, with the reason.
 
 The lines of one file (or of files with equal headers) in an Arrow batch form a
-block. A block is split at once by the columnar CSV reader; if that fails, it is halved
-until the failing lines stand alone. Values of the blocks that were split are
-converted by column. Lines that stand alone, or whose values the columnar
-conversion does not take, are diagnosed field by field, and loaded if nothing is
-wrong with them.
+block. Lines whose quotes or number of separators cannot be those of a record are
+told apart by columnar masks. The rest is split at once by the columnar CSV
+reader; if that fails, it is halved until the failing lines stand alone. Values
+of the blocks that were split are converted by column. Lines that the masks or
+the halving single out, or whose values the columnar conversion does not take,
+are diagnosed field by field, and loaded if nothing is wrong with them.
 """
 
 from __future__ import annotations
@@ -30,8 +31,6 @@ FINITE = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?")
 DIGITS = re.compile(r"\+?[0-9]+|-0+")
 #: Outer blanks of a field.
 BLANKS = " \t"
-#: A failing block of at most this many lines is diagnosed line by line; smaller calls of the bulk reader cost more.
-SMALL = 64
 
 
 class BadLine(ValueError):
@@ -114,14 +113,20 @@ def diagnose(line: str, sep: str, names: list[str]) -> dict:
     return row
 
 
-def _parse_block(lines: pa.Array, sep: str, names: list[str], quoted: str) -> pa.Table | None:
-    """Fields of the block as text columns by the bulk reader, or None if quoting or field counts may be wrong."""
-    if pc.any(pc.match_substring(lines, '"')).as_py() and not pc.all(pc.match_substring_regex(lines, quoted)).as_py():
-        return None
-    text = "\n".join(lines.to_pylist()) + "\n"
-    if "\r" in text or text.count("\n") != len(lines):
-        return None
-    raw = text.encode()
+def _suspects(lines: pa.Array, sep: str, names: list[str], quoted: str) -> np.ndarray:
+    """Lines whose quoting, number of separators outside quotes or line ends are not those of one record."""
+    count, odd = pc.count_substring(lines, sep), pc.match_substring_regex(lines, r"[\r\n]")
+    quotes = pc.match_substring(lines, '"')
+    if pc.any(quotes).as_py():
+        bare = pc.replace_substring_regex(lines, r'"(?:[^"]|"")*"', "")
+        odd = pc.or_(odd, pc.and_(quotes, pc.invert(pc.match_substring_regex(lines, quoted))))
+        count = pc.if_else(quotes, pc.count_substring(bare, sep), count)
+    return pc.or_(odd, pc.not_equal(count, len(names) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _parse_block(lines: pa.Array, sep: str, names: list[str]) -> pa.Table | None:
+    """Fields of the block as text columns by the bulk reader, or None if it fails on any line."""
+    raw = ("\n".join(lines.to_pylist()) + "\n").encode()
     try:
         table = pyarrow.csv.read_csv(
             io.BytesIO(raw),
@@ -164,23 +169,10 @@ def _convert(table: pa.Table, names: list[str]) -> tuple[pa.Table, np.ndarray]:
     return pa.table(out), good
 
 
-def _load(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], quoted: str, good: list, bad: list) -> None:
-    """Parse, or halve until it parses or is small; rows with doubtful values are diagnosed one by one."""
-    if not len(lines):
-        return
-    doubtful = lines
-    if len(lines) > SMALL:
-        table = _parse_block(lines, sep, names, quoted)
-        if table is None:
-            half = len(lines) // 2
-            _load(lines[:half], at[:half], sep, names, quoted, good, bad)
-            _load(lines[half:], at[half:], sep, names, quoted, good, bad)
-            return
-        table, valid = _convert(table, names)
-        good.append((at[valid], table.filter(pa.array(valid))))
-        doubtful, at = lines.filter(pa.array(~valid)), at[~valid]
+def _strict(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], good: list, bad: list) -> None:
+    """Diagnose lines one by one."""
     rows, kept = [], []
-    for k, line in zip(at, doubtful.to_pylist()):
+    for k, line in zip(at, lines.to_pylist()):
         try:
             rows.append(diagnose(line, sep, names))
             kept.append(k)
@@ -190,6 +182,31 @@ def _load(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], quoted: s
         good.append((np.array(kept), pa.Table.from_pylist(rows)))
 
 
+def _bisect(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], good: list, bad: list) -> None:
+    """Parse a block, or halve it until what fails is a single line."""
+    if not len(lines):
+        return
+    table = _parse_block(lines, sep, names)
+    if table is None and len(lines) > 1:
+        half = len(lines) // 2
+        _bisect(lines[:half], at[:half], sep, names, good, bad)
+        _bisect(lines[half:], at[half:], sep, names, good, bad)
+        return
+    doubtful = np.ones(len(lines), bool)
+    if table is not None:
+        table, valid = _convert(table, names)
+        good.append((at[valid], table.filter(pa.array(valid))))
+        doubtful = ~valid
+    _strict(lines.filter(pa.array(doubtful)), at[doubtful], sep, names, good, bad)
+
+
+def _load(lines: pa.Array, at: np.ndarray, sep: str, names: list[str], quoted: str, good: list, bad: list) -> None:
+    """Single out the lines that cannot be one record, and parse the others as a block."""
+    odd = _suspects(lines, sep, names, quoted)
+    _strict(lines.filter(pa.array(odd)), at[odd], sep, names, good, bad)
+    _bisect(lines.filter(pa.array(~odd)), at[~odd], sep, names, good, bad)
+
+
 RESULT = "file_id bigint, line_no int, reason string, x double, y double, z double, intensity int, classification int, value double, label string"
 
 

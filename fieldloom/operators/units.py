@@ -2,11 +2,13 @@
 
 Statements (system names, remarks) are parsed once per record set, joined to
 the records by a sized join, and checked against the position of each record.
-Where they contradict it, or nothing is stated, the unit comes from a mixture
-on the log scale whose components are offset by the known conversion factors:
-one shift and one spread for all, a weight for each unit, and a flat component
-for values of no unit. The mixture is fitted to a histogram of at most
-``BINS`` counts, so that one pass with partial aggregation serves any size.
+Where they contradict it, or nothing is stated, the unit is the one of highest
+posterior under a mixture on the log scale whose components are offset by the
+known conversion factors: one shift and one spread for all, a weight for each
+unit, and a flat component for values of no unit. The mixture is fitted to a
+histogram of at most ``BINS`` counts, so that one pass with partial aggregation
+serves any size. Whether a unit puts a row within reach of its site's centre is
+evidence in the same posterior; an exact check of the reach follows it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ POSITION_UNITS = ("m", "km", "cm", "mm")
 BIN = 0.01
 REACH = 8.0
 BINS = round(2 * REACH / BIN) + 1
+#: Chance that a wrong unit puts a row within reach of its centre, or the right one does not.
+STRAY = 1e-9
+#: Share of a unit's component that is spread over the whole range, for rows far from its middle.
+TAIL = 1e-3
 
 STATEMENT = T.StructType([
     T.StructField("p_kind", T.StringType()), T.StructField("p_lon0", T.DoubleType()), T.StructField("p_k0", T.DoubleType()),
@@ -88,10 +94,12 @@ def fit_log_mixture(bins: np.ndarray, counts: np.ndarray, offsets: np.ndarray, r
     return {"weights": weights, "shift": shift, "spread": spread}
 
 
-def _density(u: Column, unit: str, weight: float, fit: dict) -> Column:
-    """Weighted density of one component at log ratio ``u``."""
+def _score(u: Column, inside: Column, unit: str, weight: float, fit: dict) -> Column:
+    """Weighted likelihood of one unit at log ratio ``u``, given whether it puts the row within reach (null: unknown)."""
     z = (u - F.lit(fit["shift"] - math.log10(UNITS[unit]))) / F.lit(fit["spread"])
-    return F.lit(float(weight) / (fit["spread"] * math.sqrt(2 * math.pi))) * F.exp(-0.5 * z * z)
+    core = F.lit((1 - TAIL) / (fit["spread"] * math.sqrt(2 * math.pi))) * F.exp(-0.5 * z * z) + F.lit(TAIL / (2 * REACH))
+    odds = (1 - STRAY) / STRAY
+    return F.lit(float(weight)) * core * F.when(inside, F.lit(odds)).when(~inside, F.lit(1 / odds)).otherwise(F.lit(1.0))
 
 
 def stated_units(records: DataFrame, scans: DataFrame, sites: DataFrame) -> DataFrame:
@@ -143,33 +151,39 @@ def common_units(records: DataFrame, scans: DataFrame, sites: DataFrame, reach:
     """Give every record its units and its coordinates in metres of EPSG:25832.
 
     Returns rec_id, h_unit, v_unit, x_m, y_m, z_m, basis (remark, system,
-    position, none), confidence and uncertain. Rows of null x or y come out
-    with the stated units, null coordinates and basis none. A row whose record
-    set or site is unknown keeps what is stated or the metre, uncertain. If no
-    unit puts a row within ``reach`` of its site's centre, the stated unit
-    stays and the row is uncertain. NaN coordinates count as null. Repeated
-    rows each come out; an empty table gives an empty result; other columns
-    of the inputs are not read.
+    position, none), confidence (the posterior where the position decides) and
+    uncertain. Rows of null x or y come out with the stated units, null
+    coordinates and basis none. A row whose site is unknown keeps what is
+    stated; where nothing is stated, the mixture alone decides, against the
+    mean distance of the sites from the origin. If the most probable unit does
+    not put a row within ``reach`` of its site's centre, or no unit is as
+    probable as none, the stated unit stays and the row is uncertain. NaN
+    coordinates count as null. Repeated rows each come out; an empty table
+    gives an empty result; other columns of the inputs are not read.
     """
     number = lambda c: F.when(~F.isnan(c), F.col(c))
     clean = records.withColumns({c: number(c) for c in "xyz"})
     df = stated_units(clean, scans, sites)
-    located = F.col("raw_e").isNotNull() & F.col("raw_n").isNotNull() & F.col("center_x").isNotNull()
-    df = df.withColumn("fits", F.when(located, F.coalesce(_near(F.col("east"), F.col("north"), reach), F.lit(False))))
-    ratio = F.log10(F.sqrt(F.col("raw_e") ** 2 + F.col("raw_n") ** 2)) - F.log10(F.sqrt(F.col("center_x") ** 2 + F.col("center_y") ** 2))
-    open_row = F.coalesce(~F.col("stated") | ~F.col("fits"), F.lit(False)) & located
-    df = df.withColumn("_u", F.when(open_row, F.greatest(F.least(ratio, F.lit(REACH)), F.lit(-REACH))))
+    placed, known = F.col("raw_e").isNotNull() & F.col("raw_n").isNotNull(), F.col("center_x").isNotNull()
+    df = df.withColumn("fits", F.when(placed & known, F.coalesce(_near(F.col("east"), F.col("north"), reach), F.lit(False))))
+    far = lambda e, n: F.sqrt(F.col(e) ** 2 + F.col(n) ** 2)
+    middle = sites.agg(F.avg(far("center_x", "center_y")).alias("m")).first()["m"]
+    ratio = F.log10(far("raw_e", "raw_n")) - F.log10(F.coalesce(far("center_x", "center_y"), F.lit(middle).cast("double")))
+    open_row = placed & F.coalesce(~F.col("stated") | ~F.col("fits"), F.lit(False))
+    df = df.withColumn("_u", F.when(open_row & ratio.isNotNull(), F.greatest(F.least(ratio, F.lit(REACH)), F.lit(-REACH))))
     df = fence(df, "_u", "fits")
     histogram = df.where(F.col("_u").isNotNull()).groupBy(F.round(F.col("_u") / BIN).cast("int").alias("b")).count().collect()
     bins = np.array([r["b"] * BIN for r in histogram], dtype=float)
     counts = np.array([r["count"] for r in histogram], dtype=float)
     fit = fit_log_mixture(bins, counts, np.array([-math.log10(UNITS[u]) for u in POSITION_UNITS]))
     each = list(enumerate(POSITION_UNITS))
-    df = df.withColumns({f"_d{i}": _density(F.col("_u"), u, fit["weights"][i], fit) for i, u in each} | {f"_in{i}": F.col("_u").isNotNull() & _near(F.col("raw_e") * UNITS[u], F.col("raw_n") * UNITS[u], reach) for i, u in each})
-    df = fence(df, *(f"_d{i}" for i, _ in each), *(f"_in{i}" for i, _ in each))
-    # The most probable unit first; the exact reach decides, whatever the order.
-    df = df.withColumns({"_best": F.greatest(*(F.col(f"_d{i}") for i, _ in each)), "_all": sum((F.col(f"_d{i}") for i, _ in each), F.lit(float(fit["weights"][-1]) / (2 * REACH)))})
-    choice = F.coalesce(*(F.when(F.col(f"_in{i}") & (F.col(f"_d{i}") == F.col("_best")), F.lit(i)) for i, _ in each), *(F.when(F.col(f"_in{i}"), F.lit(i)) for i, _ in each))
+    df = df.withColumns({f"_in{i}": F.when(F.col("_u").isNotNull() & known, _near(F.col("raw_e") * UNITS[u], F.col("raw_n") * UNITS[u], reach)) for i, u in each})
+    df = fence(df, *(f"_in{i}" for i, _ in each))
+    df = fence(df.withColumns({f"_d{i}": F.when(F.col("_u").isNotNull(), _score(F.col("_u"), F.col(f"_in{i}"), u, fit["weights"][i], fit)) for i, u in each}), *(f"_d{i}" for i, _ in each))
+    flat = F.lit(float(fit["weights"][-1]) / (2 * REACH))
+    df = df.withColumns({"_best": F.greatest(flat, *(F.col(f"_d{i}") for i, _ in each)), "_all": sum((F.col(f"_d{i}") for i, _ in each), flat)})
+    # The unit of highest posterior; the exact reach is checked after it, where there is a centre.
+    choice = F.coalesce(*(F.when((F.col(f"_d{i}") == F.col("_best")) & F.coalesce(f"_in{i}", F.lit(True)), F.lit(i)) for i, _ in each))
     df = fence(df.withColumn("_which", choice), "_which", "_all")
     picked = lambda values: F.coalesce(*(F.when(F.col("_which") == i, v) for i, v in enumerate(values)))
     df = fence(df.withColumns({"_unit": picked([F.lit(u) for _, u in each]), "_p": picked([F.col(f"_d{i}") for i, _ in each]) / F.col("_all")}), "_unit", "_p")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.operators import badrows, proximity, units
-from fieldloom.plans.crs_sql import proximity_sql, units_sql
+from fieldloom.plans.crs_sql import SHIFT, proximity_sql, units_sql
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def p1_metres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.common_units(*(table(spark, sf_dir, n) for n in ("georecords", "scans", "sites")))
 
 
+def p1_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units and coordinates, to the centimetre, of every record with an x."""
+    rows = units.common_units(table(spark, sf_dir, "georecords").where("x is not null and not isnan(x)"), table(spark, sf_dir, "scans"), table(spark, sf_dir, "sites"))
+    return rows.select("rec_id", "h_unit", "v_unit", *(F.round(F.col(c) + SHIFT, 2).alias(c) for c in ("x_m", "y_m", "z_m")))
+
+
 def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by units and basis, with the uncertain ones counted."""
     rows = p1_metres(spark, sf_dir)
@@ -52,9 +58,10 @@ def p5_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("reason is null").drop("reason")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_metres, p1_report, p2_found, p2_places, p5_found, p5_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_metres, p1_positions, p1_report, p2_found, p2_places, p5_found, p5_loaded)}
 SQL: dict[str, str] = {
     "p1_found": units_sql(),
+    "p1_positions": units_sql(positions=True),
     "p2_found": proximity_sql(),
     # Fields are taken by a pattern after the separator is put before the line; s is the separator as the pattern needs it.
     "p5_found": r"""

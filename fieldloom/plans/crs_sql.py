@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from fieldloom.functions import projection as P
 
+#: Added before rounding, so that no recorded value lies where the engines round differently.
+SHIFT = 0.0001234
 _NUMBER = "[-+]?[0-9]*\\.?[0-9]+(?:[eE][-+]?[0-9]+)?"
 
 
@@ -66,12 +68,18 @@ def _said(*patterns: str) -> str:
     return "coalesce(" + ", ".join(f"nullif(regexp_extract(remark, '{p}', 1), '')" for p in patterns) + ")"
 
 
-def units_sql() -> str:
+def units_sql(positions: bool = False) -> str:
+    """Units of the rows not in metres, or with ``positions`` the units and coordinates of all rows with an x."""
     every = _said(f"(?:[Aa]ll coordinates in|Coordinates delivered in|Koordinaten in|coords:|xyz are|unit of the export was) {_U}")
     plan = _said(f"(?:Easting/northing in|plan coordinates are|plan in) {_U}", f"x/y \\[{_U}\\]")
     height = _said(f"(?:[Hh]eights in|vertical values recorded as|H in|Elevations are) {_U}", f"z \\[{_U}\\]", "z stays metric \\((m)\\)")
     near = "abs({0} - center_x) <= 6000 AND abs({1} - center_y) <= 6000"
     fit = " ".join(f"WHEN {near.format(f'raw_e * {f}', f'raw_n * {f}')} THEN '{u}'" for u, f in (("m", "1"), ("km", "1000"), ("cm", "0.01"), ("mm", "0.001")))
+    end = "SELECT rec_id, coalesce(got, h) AS h_unit, coalesce(got, v) AS v_unit FROM k WHERE coalesce(got, h) <> 'm' OR coalesce(got, v) <> 'm'"
+    if positions:
+        shown = lambda c: f"round({c} + {SHIFT!r}, 2)"
+        end = f"""SELECT rec_id, coalesce(got, h) AS h_unit, coalesce(got, v) AS v_unit, {shown(f"CASE WHEN got IS NULL THEN east ELSE raw_e * ({factor('got')}) END")} AS x_m,
+            {shown(f"CASE WHEN got IS NULL THEN north ELSE raw_n * ({factor('got')}) END")} AS y_m, {shown(f"z * ({factor('coalesce(got, v)')})")} AS z_m FROM k JOIN georecords USING (rec_id)"""
     return f"""WITH {systems("scans")},
     m0 AS (SELECT scan_id, proj, {every} AS a, {plan} AS p, {height} AS z, coalesce(regexp_matches(remark, '1e-7 deg|degrees times 10,000,000'), FALSE) AS deg,
         TRY_CAST(nullif(regexp_extract(remark, '(?:Flight line|Strip|pt_src_id) ([0-9]+)', 1), '') AS INT) AS strip, nullif(regexp_extract(remark, 'others in {_U}', 1), '') AS o FROM scans),
@@ -85,8 +93,7 @@ def units_sql() -> str:
     b AS (SELECT rec_id, raw_e, raw_n, center_x, center_y, h, v, stated, raw_e * ({factor("h")}) AS e, raw_n * ({factor("h")}) AS n,
         CASE WHEN h IN ('deg', '1e-7 deg') THEN 'geo' WHEN kind = 'geo' OR kind IS NULL THEN 'tm' ELSE kind END AS kind, CASE WHEN h IN ('deg', '1e-7 deg') OR kind = 'geo' OR kind IS NULL THEN 9.0 ELSE lon0 END AS lon0 FROM w),
     {to_zone("b", "t", "rec_id, raw_e, raw_n, center_x, center_y, h, v, stated")},
-    k AS (SELECT rec_id, h, v, CASE WHEN center_x IS NULL OR (stated AND coalesce({near.format("east", "north")}, FALSE)) THEN NULL ELSE CASE {fit} END END AS got FROM t)
-    SELECT rec_id, coalesce(got, h) AS h_unit, coalesce(got, v) AS v_unit FROM k WHERE coalesce(got, h) <> 'm' OR coalesce(got, v) <> 'm'"""
+    k AS (SELECT rec_id, h, v, raw_e, raw_n, east, north, CASE WHEN center_x IS NULL OR (stated AND coalesce({near.format("east", "north")}, FALSE)) THEN NULL ELSE CASE {fit} END END AS got FROM t) {end}"""
 
 
 def proximity_sql() -> str:

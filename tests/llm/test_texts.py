@@ -12,20 +12,42 @@ from fieldloom.llm import mixing, packing, quality, tokens
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=80))
-def test_pack(lengths):
-    at = packing.pack(lengths, 64)
-    load = np.bincount(at, lengths, minlength=1) if len(lengths) else np.zeros(1)
-    assert load.max() <= 64
-    if lengths:
-        assert at.max() + 1 <= 1.7 * -(-sum(lengths) // 64) + 2
-        assert (load > 0).all()
-
-
-def test_pack_is_tight():
-    lengths = np.random.default_rng(1).integers(1, 513, 8000).tolist()
-    at = packing.pack(lengths, 512)
-    assert sum(lengths) / (512 * (at.max() + 1)) > 0.98
+@given(st.lists(st.integers(1, 64), max_size=80), st.lists(st.integers(0, 63), max_size=9))
+def test_pack(lengths, gaps):
+    at = packing.pack(gaps, lengths, 64)
+    load = np.bincount(at, lengths, minlength=len(gaps))
+    assert (load <= np.array([*gaps, *[64] * (len(load) - len(gaps))])).all() and (at >= 0).all()
+    assert (load[len(gaps):] > 0).all()
+    # Only one new container can stay half empty.
+    assert (load[len(gaps):] <= 32).sum() <= 1
+
+
+def test_classes(spark):
+    """Classes, counts and the two fills on random lengths, against a plain count."""
+    lengths = np.random.default_rng(1).integers(1, 513, 6000).tolist()
+    sizes = spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([("small", 512)], "container_kind string, capacity_tokens int")
+    rows = packing.packed(sizes, kinds, share=10**6).toPandas()
+    assert ((rows["class"] * rows.tokens <= 512) & ((rows["class"] + 1) * rows.tokens > 512)).all()
+    count = rows.groupby("class").size()
+    own = rows.groupby(["class", "class_container"]).size().reset_index(name="n")
+    assert (own.n <= own["class"]).all()
+    for k, n in count.items():
+        assert len(own[own["class"] == k]) == -(-n // k) and (own[own["class"] == k].n == k).sum() == n // k
+    fixed = rows[rows.fixed].groupby("container_id")
+    assert (fixed["class"].nunique() == 1).all() and (fixed.size() == fixed["class"].first()).all() and len(fixed) > 2000
+    assert rows[rows.fixed]["class"].max() < rows[~rows.fixed]["class"].max()
+    report = packing.packing_report(spark.createDataFrame(rows)).first()
+    assert report.filled > 0.97 and report.filled_by_classes == pytest.approx(sum(lengths) / 512 / len(own), abs=1e-5)
+
+
+def test_packing_checks_see_faults(spark):
+    sizes = spark.createDataFrame([(i, 100 + 3 * i) for i in range(200)] + [(5, 7), (300, None)], "doc_id bigint, tokens bigint")
+    kinds = spark.createDataFrame([("small", 256)], "container_kind string, capacity_tokens int")
+    rows = packing.packed(sizes, kinds)
+    assert tuple(packing.packing_checks(rows, sizes).first()) == ("small", 202, 0, 0, 0)
+    assert packing.packing_checks(rows.where("doc_id <> 9"), sizes).where("lost > 0").count() == 1
+    assert packing.packing_checks(rows.withColumn("container_id", F.lit("a")), sizes).first().overfull == 1
 
 
 def test_packed(spark):

@@ -8,11 +8,18 @@ distance 2s + 1 agree in one substring up to distance s; so probing both
 substrings up to s retrieves every code within that radius. Candidates are
 reranked by their floats.
 
+The number of thresholds grows with the number of vectors, so that a bucket
+holds a few vectors at any size.
+
 The margins to the thresholds bound how many bits a vector within a given
 distance can differ in. A query whose k-th candidate is closer than the
 cheapest way to differ in more bits than the radius is therefore finished and
-exact. The others are probed with a larger radius, and what remains is compared
-with all vectors in blocks, so that the result is exact.
+exact. For the others the pigeonhole principle is applied to distances: a vector
+closer than the k-th candidate has at most half of that squared distance in one
+of the substrings' axes, so those buckets whose cheapest bit flips cost no more
+are probed, cheapest axes first, and the list is complete. A query that would
+need more than ``MOST`` buckets, or met fewer than k vectors, is compared with
+all vectors in blocks, so that the result is exact.
 """
 
 from __future__ import annotations
@@ -34,6 +41,11 @@ NEIGHBOURS = 5
 SAMPLE = 20000
 #: Rows of one index bucket above which the bucket is joined by salts.
 HOT = 3000
+#: Vectors that an index bucket should hold, and the most thresholds an axis can have (20 bits, three axes to a number).
+BUCKET = 3
+LEVELS = 21
+#: Buckets of one substring that a query may probe by distance.
+MOST = 4096
 #: Ids kept per distinct vector: one more than any row of an equal vector can need.
 KEPT = NEIGHBOURS + 1
 
@@ -53,7 +65,7 @@ class Code:
         mean = sample.mean(axis=0)
         values, vectors = np.linalg.eigh(np.atleast_2d(np.cov((sample - mean).T)) if len(sample) > 1 else np.eye(dim))
         turn = vectors[:, np.argsort(-values, kind="stable")]
-        levels = int(np.clip(round((max(rows, 1) / 3) ** (1 / 6)), 4, 8))
+        levels = int(np.clip(round((max(rows, 1) / BUCKET) ** (2 / dim)), 4, LEVELS))
         z = (sample - mean) @ turn
         cuts = [np.unique(np.quantile(z[:, i], np.linspace(0, 1, levels + 1)[1:-1])) for i in range(dim)]
         return Code(mean, turn, cuts)
@@ -76,15 +88,41 @@ class Code:
         """Number of an index bucket; substrings differ in the lowest bit."""
         key = np.zeros(level.shape[:-1], np.int64)
         for axis in self.half[half]:
-            key = key * 16 + level[..., axis]
+            key = key * 32 + level[..., axis]
         return key * 2 + half
 
-    def bits(self, level: np.ndarray, half: int) -> np.ndarray:
-        """The substring itself: the axes' thermometers of 8 bits."""
-        bits = np.zeros(len(level), np.int64)
+    def bits(self, level: np.ndarray) -> list[np.ndarray]:
+        """The substrings themselves, two numbers each: the axes' thermometers of 20 bits."""
+        out = []
+        for half in self.half:
+            for axes in (half[:3], half[3:]):
+                bits = np.zeros(len(level), np.int64)
+                for axis in axes:
+                    bits = (bits << 20) | ((1 << level[:, axis]) - 1)
+                out.append(bits)
+        return out
+
+    def near_boxes(self, x: np.ndarray, half: int, bound: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows and bucket numbers of one substring whose cells are within the squared distance ``bound`` of each row.
+
+        The third array tells the rows that would need more than ``most`` buckets; they get none.
+        """
+        z = (x - self.mean) @ self.turn
+        rows, key, cost = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
+        over = np.zeros(len(x), bool)
+        limit = bound * (1 + 1e-9) + 1e-12
         for axis in self.half[half]:
-            bits = (bits << 8) | ((1 << level[:, axis]) - 1)
-        return bits
+            cut = self.cuts[axis]
+            # Distance of each row to each cell along this axis.
+            edge = np.concatenate([[-np.inf], cut, [np.inf]])
+            gap = np.maximum(np.maximum(edge[None, :-1] - z[:, axis:axis + 1], z[:, axis:axis + 1] - edge[None, 1:]), 0) ** 2
+            total = cost[:, None] + gap[rows]
+            at, level = np.nonzero(total <= limit[rows][:, None])
+            cost, key, rows = total[at, level], key[at] * 32 + level, rows[at]
+            over |= np.bincount(rows, minlength=len(x)) > most
+            keep = ~over[rows]
+            cost, key, rows = cost[keep], key[keep], rows[keep]
+        return rows, key * 2 + half, over
 
     def probes(self, level: np.ndarray, half: int, near: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and bucket numbers of all substrings within distance ``near``."""
@@ -134,9 +172,11 @@ def _square(a: str, b: str, dim: int) -> Column:
     return total
 
 
-def _encoded(reps: DataFrame, code: Code, radii: tuple[int, ...], dim: int) -> DataFrame:
-    """Vectors with substring numbers, substrings and the safe squared distance of each radius."""
-    safe = [f"safe{r}" for r in radii]
+_BITS = [f"b{i}" for i in range(4)]
+
+
+def _encoded(reps: DataFrame, code: Code, radius: int, dim: int) -> DataFrame:
+    """Vectors with substring numbers, substrings and the squared distance that ``radius`` makes safe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,16 +184,15 @@ def _encoded(reps: DataFrame, code: Code, radii: tuple[int, ...], dim: int) -> D
                 continue
             x = batch.column("coords").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             level, costs = code.encode(x)
-            limit = [costs[:, r] if r < costs.shape[1] else np.full(len(x), np.inf) for r in radii]
-            arrays = [batch.column("rep"), batch.column("coords"), *(pa.array(a) for a in (code.key(level, 0), code.key(level, 1), code.bits(level, 0), code.bits(level, 1), *limit))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["rep", "coords", "key0", "key1", "bits0", "bits1", *safe])
+            safe = costs[:, radius] if radius < costs.shape[1] else np.full(len(x), np.inf)
+            arrays = [batch.column("rep"), batch.column("coords"), *(pa.array(a) for a in (code.key(level, 0), code.key(level, 1), *code.bits(level), safe))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["rep", "coords", "key0", "key1", *_BITS, "safe"])
 
-    schema = "rep bigint, coords array<double>, key0 bigint, key1 bigint, bits0 bigint, bits1 bigint, " + ", ".join(f"{s} double" for s in safe)
-    return reps.select("rep", "coords").mapInArrow(run, schema)
+    return reps.select("rep", "coords").mapInArrow(run, "rep bigint, coords array<double>, key0 bigint, key1 bigint, " + ", ".join(f"{b} bigint" for b in _BITS) + ", safe double")
 
 
 def _probing(queries: DataFrame, code: Code, near: int, dim: int) -> DataFrame:
-    """One row per query and bucket to look into."""
+    """One row per query and bucket within ``near`` bits of a substring."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,27 +204,62 @@ def _probing(queries: DataFrame, code: Code, near: int, dim: int) -> DataFrame:
                     taken = part.take(pa.array(rows))
                     yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(keys)], names=[*taken.schema.names, "key"])
 
-    columns = queries.select("qid", "q", "q0", "q1")
-    return columns.mapInArrow(run, "qid bigint, q array<double>, q0 bigint, q1 bigint, key bigint")
+    columns = queries.select("qid", "q", *(F.col(b).alias(f"q{b}") for b in _BITS))
+    return columns.mapInArrow(run, "qid bigint, q array<double>, " + ", ".join(f"q{b} bigint" for b in _BITS) + ", key bigint")
+
+
+def _boxes(queries: DataFrame, code: Code, dim: int) -> DataFrame:
+    """One row per query (qid, q, far) and bucket that can hold a vector nearer than ``far``; a null key if they are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                x, far = part.column("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), part.column("far").to_numpy()
+                found = [code.near_boxes(x, half, far / 2) for half in (0, 1)]
+                over = found[0][2] | found[1][2]
+                rows = np.concatenate([np.flatnonzero(over), *(r[~over[r]] for r, _, _ in found)])
+                keys = np.concatenate([np.full(int(over.sum()), -1), *(k[~over[r]] for r, k, _ in found)])
+                taken = part.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(keys, mask=keys < 0)], names=[*taken.schema.names, "key"])
+
+    return queries.select("qid", "q", "far").mapInArrow(run, "qid bigint, q array<double>, far double, key bigint")
+
+
+def _met(encoded: DataFrame, probes: DataFrame) -> DataFrame:
+    """Probes joined with the index; buckets of more than ``HOT`` vectors by salts."""
+    index = encoded.select("rep", "coords", *_BITS, F.explode(F.array("key0", "key1")).alias("key"))
+    hot = checkpoint(index.groupBy("key").count().where(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("_n")))
+    if hot.take(1):
+        one = F.coalesce(F.col("_n"), F.lit(1))
+        index = sized_join(index, hot, ["key"], "left", salt_by="rep").withColumn("_salt", F.pmod(F.xxhash64("rep"), one).cast("int")).drop("_n")
+        probes = sized_join(probes, hot, ["key"], "left", salt_by="qid").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
+        return probes.join(index, ["key", "_salt"]).where(F.col("qid") != F.col("rep"))
+    return probes.join(index, "key").where(F.col("qid") != F.col("rep"))
 
 
 def probe_join(encoded: DataFrame, queries: DataFrame, code: Code, near: int, k: int, dim: int) -> DataFrame:
     """The k best (qid, rep, sd) of all codes within Hamming distance 2 * near + 1 of each query."""
-    index = encoded.select("rep", "coords", "bits0", "bits1", F.explode(F.array("key0", "key1")).alias("key"))
-    probes = _probing(queries, code, near, dim)
-    hot = index.groupBy("key").count().where(F.col("count") > HOT).select("key", F.least(F.ceil(F.col("count") / HOT), F.lit(1024)).cast("int").alias("_n"))
-    one = F.coalesce(F.col("_n"), F.lit(1))
-    index = sized_join(index, hot, ["key"], "left", salt_by="rep").withColumn("_salt", F.pmod(F.xxhash64("rep"), one).cast("int")).drop("_n")
-    probes = sized_join(probes, hot, ["key"], "left", salt_by="qid").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
-    away = [F.bit_count(F.col(f"q{h}").bitwiseXOR(F.col(f"bits{h}"))) for h in (0, 1)]
+    away = [sum((F.bit_count(F.col(f"q{b}").bitwiseXOR(F.col(b))) for b in pair), F.lit(0)) for pair in (_BITS[:2], _BITS[2:])]
     # A pair that both substrings retrieve counts once, from the first.
     first = (F.col("key").bitwiseAND(F.lit(1)) == 0) | (away[0] > near)
-    met = probes.join(index, ["key", "_salt"]).where((away[0] + away[1] <= 2 * near + 1) & first & (F.col("qid") != F.col("rep")))
+    met = _met(encoded, _probing(queries, code, near, dim)).where((away[0] + away[1] <= 2 * near + 1) & first)
     return top_rows(met.select("qid", "rep", _square("q", "coords", dim).alias("sd")), k)
 
 
+def box_join(encoded: DataFrame, boxes: DataFrame, k: int, dim: int) -> DataFrame:
+    """The k best (qid, rep, sd) of all vectors not farther than ``far``, from ``boxes`` that cover that distance."""
+    sd = _square("q", "coords", dim)
+    met = _met(encoded, boxes.where("key is not null")).select("qid", "rep", "far", sd.alias("sd")).where("sd <= far")
+    # Both substrings may retrieve a vector: equal places in the order are one vector.
+    ranked = met.withColumn("_r", F.dense_rank().over(Window.partitionBy("qid").orderBy("sd", "rep"))).where(F.col("_r") <= k)
+    return ranked.select("qid", "rep", "sd").distinct()
+
+
 def nearest_vectors(reps: DataFrame, k: int = NEIGHBOURS, dim: int = DIM) -> DataFrame:
     """The k nearest other distinct vectors (qid, rep, sd) of every distinct vector; exact."""
+    if dim > DIM:
+        raise ValueError(f"codes take at most {DIM} axes")
     reps = checkpoint(reps)
     rows = reps.count()
     spark = reps.sparkSession
@@ -196,22 +270,23 @@ def nearest_vectors(reps: DataFrame, k: int = NEIGHBOURS, dim: int = DIM) -> Dat
     sample = reps.where(F.pmod(F.xxhash64("coords"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("coords").limit(2 * SAMPLE).toArrow().combine_chunks()
     points = sample["coords"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if sample.num_rows else np.zeros((1, dim))
     code = Code.learn(points, rows)
-    encoded = checkpoint(_encoded(reps, code, (3, 5), dim))
-    ask = lambda df: df.select(F.col("rep").alias("qid"), F.col("coords").alias("q"), F.col("bits0").alias("q0"), F.col("bits1").alias("q1"))
-    first = checkpoint(probe_join(encoded, ask(encoded), code, 1, k, dim))
-    left = _unfinished(first, encoded, "safe3", k)
-    second = checkpoint(probe_join(encoded, ask(left), code, 2, k, dim))
-    rest = checkpoint(_unfinished(second, left, "safe5", k))
-    last = block_search(reps, ask(rest).select("qid", "q"), k, dim)
-    done = lambda df, open_rows: df.join(open_rows.select(F.col("rep").alias("qid")), "qid", "left_anti")
-    return done(first, left).unionByName(done(second, rest)).unionByName(last)
-
-
-def _unfinished(found: DataFrame, queries: DataFrame, safe: str, k: int) -> DataFrame:
-    """Queries whose k-th neighbour is not proven to be the k-th of all."""
-    kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("sd").alias("_far"))
-    state = queries.join(kth, queries["rep"] == kth["qid"], "left").drop("qid")
-    return checkpoint(state.where(~F.coalesce((F.col("_n") >= k) & (F.col("_far") < F.col(safe)), F.lit(False))).drop("_n", "_far"))
+    encoded = checkpoint(_encoded(reps, code, 3, dim))
+    ask = encoded.withColumnsRenamed({"rep": "qid", "coords": "q"})
+    first = checkpoint(probe_join(encoded, ask, code, 1, k, dim))
+    left = _unfinished(first, encoded, k)
+    boxes = checkpoint(_boxes(left.where("far is not null"), code, dim))
+    second = box_join(encoded, boxes, k, dim)
+    rest = checkpoint(left.where("far is null").select("qid", "q").unionByName(boxes.where("key is null").select("qid", "q")))
+    last = block_search(reps, rest, k, dim)
+    closed = first.join(left.select("qid"), "qid", "left_anti")
+    return closed.unionByName(second).unionByName(last)
+
+
+def _unfinished(found: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Queries whose k-th neighbour is not proven to be the k-th of all: qid, q, far (its squared distance, null if there is none)."""
+    kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.max("sd").alias("far"))
+    state = queries.select(F.col("rep").alias("qid"), F.col("coords").alias("q"), "safe").join(kth, "qid", "left").withColumn("far", F.when(F.col("_n") >= k, F.col("far")))
+    return checkpoint(state.where(~F.coalesce(F.col("far") < F.col("safe"), F.lit(False))).select("qid", "q", "far"))
 
 
 def neighbour_lists(vectors: DataFrame, k: int = NEIGHBOURS, dim: int = DIM) -> DataFrame:

@@ -96,6 +96,34 @@ def test_neighbours(spark, monkeypatch, spread):
     assert got == brute(rows)
 
 
+def test_boxes_hold_all_nearer_vectors():
+    """A vector within the distance lies in a probed bucket of one of the substrings."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 5, (500, 12))
+    code = neighbours.Code.learn(x, 200000)
+    level, _ = code.encode(x)
+    for far in (4.0, 60.0):
+        bound = np.full(40, far)
+        got = [set(), set()]
+        for half in (0, 1):
+            rows, keys, over = code.near_boxes(x[:40], half, bound / 2, most=10**6)
+            assert not over.any()
+            got[half] = set(zip(rows.tolist(), keys.tolist()))
+        sd = ((x[:40, None] - x[None]) ** 2).sum(axis=2)
+        for i, j in zip(*np.nonzero(sd <= far)):
+            assert any((i, int(code.key(level[j:j + 1], h)[0])) in got[h] for h in (0, 1))
+    rows, _, over = code.near_boxes(x[:40], 0, np.full(40, 1e6), most=100)
+    assert over.all() and not len(rows)
+
+
+def test_too_many_boxes_go_to_the_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST", 2)
+    monkeypatch.setattr(neighbours.Code.near_boxes, "__defaults__", (2,))
+    rng = np.random.default_rng(3)
+    rows = [(i, list(map(float, v))) for i, v in enumerate(rng.normal(0, 9, (120, 12)))]
+    assert {r.vec_id: [c.id for c in r.neighbours] for r in neighbours.neighbour_lists(vectors(spark, rows)).collect()} == brute(rows)
+
+
 def test_few_vectors(spark):
     assert neighbours.nearest_pairs(vectors(spark, [])).count() == 0
     assert neighbours.nearest_pairs(vectors(spark, [(1, [0.0] * 12)])).count() == 0

@@ -103,7 +103,7 @@ def sized_join(
     on: Sequence[str],
     how: str = "inner",
     salt_by: str | None = None,
-    salts: int = 16,
+    salts: int | None = None,
     bound: int = BROADCAST_BYTES,
     width: int | None = None,
 ) -> DataFrame:
@@ -111,8 +111,9 @@ def sized_join(
 
     The rows of ``small`` are counted first. Below ``bound`` bytes it is
     broadcast. Beyond it both sides are shuffled on the key and a salt: rows of
-    ``large`` take one of ``salts`` values from ``salt_by``, rows of ``small``
-    are repeated for each, so that one key never lies in one task only.
+    ``large`` take one of ``salts`` values from ``salt_by`` (by default as many
+    as there are shuffle partitions, 16 at least), rows of ``small`` are
+    repeated for each, so that one key never lies in one task only.
     ``how`` is inner, left, left_semi or left_anti.
     """
     count = small.count()
@@ -120,11 +121,28 @@ def sized_join(
         return large.join(F.broadcast(small), list(on), how)
     if salt_by is None:
         return large.join(small, list(on), how)
+    salts = salts or max(16, int(large.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = large.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
     return keyed.join(salted, [*on, "_salt"], how).drop("_salt")
 
 
+def skewed_join(large: DataFrame, small: DataFrame, on: Sequence[str], weight: str, hot: int = 100_000) -> DataFrame:
+    """Join rows to a table of one row per key whose column ``weight`` tells how many rows have the key.
+
+    Keys of more than ``hot`` rows, of which there are few, are joined by
+    ``sized_join``, the others by one shuffle; so no task gets all rows of one
+    key. Both inputs are read twice and should be checkpoints. Rows without a
+    partner are dropped.
+    """
+    crowded = small.where(F.col(weight) > hot)
+    if not crowded.take(1):
+        return large.join(small, list(on))
+    marked = sized_join(large, crowded.select(*on, F.lit(True).alias("_hot")), on, "left", salt_by=large.columns[0])
+    thin = marked.where("_hot is null").drop("_hot").join(small.where(F.col(weight) <= hot), list(on))
+    return thin.unionByName(sized_join(marked.where("_hot").drop("_hot"), crowded, on, salt_by=large.columns[0]))
+
+
 def fence(df: DataFrame, *columns: str) -> DataFrame:
     """Keep the optimiser from moving filters into long expressions above.
 

@@ -34,30 +34,58 @@ def make(seed, n=260, spread=4.0):
     return [(int(i) + 1, int(k), *map(float, p)) for i, (k, p) in enumerate(zip(rng.integers(3, 5, n), at))]
 
 
-@pytest.mark.parametrize("share", [clusters.SHARE, 20])
-def test_density_peaks(spark, monkeypatch, share):
+def peaks_by_hand(points, radius):
+    """Density, nearest denser record and peak of every record; equal positions share them."""
+    ids = np.array([p[0] for p in points])
+    kind, at = np.array([p[1] for p in points]), np.array([p[2:] for p in points])
+    sd = ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    sd[kind[:, None] != kind[None]] = np.inf
+    density = (sd <= radius**2).sum(axis=1)
+    rep = np.array([ids[sd[i] == 0].min() for i in range(len(ids))])
+    up = {}
+    for i, r in enumerate(rep):
+        cand = [(sd[i, j], rep[j]) for j in range(len(ids)) if rep[j] != r and sd[i, j] <= radius**2 and (density[j] > density[i] or density[j] == density[i] and rep[j] < r)]
+        up[int(r)] = min(cand) if cand else (None, int(r))
+
+    def peak(r):
+        while up[r][1] != r:
+            r = up[r][1]
+        return r
+
+    return {int(i): (int(d), None if up[int(r)][0] is None else int(up[int(r)][1]), peak(int(r))) for i, r, d in zip(ids, rep, density)}
+
+
+@pytest.mark.parametrize(("share", "pairs"), [(clusters.SHARE, clusters.PAIRS), (20, 50)])
+def test_density_peaks(spark, monkeypatch, share, pairs):
+    """Also with tiles cut into shares and pairs of cells taken in parts."""
     monkeypatch.setattr(clusters, "SHARE", share)
+    monkeypatch.setattr(clusters, "PAIRS", pairs)
     points = make(3)
     points += [(900, 3, *points[0][2:]), (901, 3, *points[0][2:])]
-    want = chains(points, 0.6)
+    want, own = chains(points, 0.6), peaks_by_hand(points, 0.6)
     got = {r.rec_id: r for r in clusters.density_peaks(scan(spark, points)).collect()}
     assert {i: r.cluster_id for i, r in got.items()} == want
+    assert {i: (r.density, r.denser, r.peak) for i, r in got.items()} == own
     sizes = {c: list(want.values()).count(c) for c in want.values()}
     assert all(r.size == sizes[r.cluster_id] for r in got.values())
     big = {(r.cluster_id, r.rec_id) for r in clusters.cluster_members(scan(spark, points)).collect()}
     assert big == {(c, i) for i, c in want.items() if sizes[c] >= 8}
     report = clusters.cluster_report(scan(spark, points)).collect()
     assert {r.cluster_id for r in report} == {c for c, n in sizes.items() if n >= 8} and all(len(r.typical) == 3 for r in report)
-
-
-def test_large_cells_in_parts(monkeypatch):
-    monkeypatch.setattr(clusters, "PAIRS", 50)
-    rng = np.random.default_rng(5)
-    at = rng.random((90, 3)) * [0.8, 0.3, 0.3]
-    key = (at[:, 0] > 0.4).astype(int)
-    a, b, sd = clusters.link_cells(key, np.ones(90, bool), at, np.array([1]), 0.6)
-    d = ((at[key == 0][:, None] - at[key == 1][None]) ** 2).sum(axis=2)
-    assert len(a) == 1 and sd[0] == pytest.approx(d.min())
+    assert all(own[r.typical[0]][0] == max(own[i][0] for i, c in want.items() if c == r.cluster_id) for r in report)
+
+
+def test_hot_positions(spark, monkeypatch):
+    """Two positions that hold nearly all rows are joined once, however many rows they have."""
+    monkeypatch.setattr(clusters.skewed_join, "__defaults__", (1000,))
+    n = 20000
+    df = spark.range(2 * n + 5).selectExpr("id as rec_id", "3S as classification", f"case when id < {n} then 0.0D when id < {2 * n} then 0.5D else 100.0D + id end as x", "0.0D as y", "0.0D as z")
+    seen = []
+    count = clusters._count_near
+    monkeypatch.setattr(clusters, "_tiles", lambda places, *rest, tiles=clusters._tiles: seen.append(places.count()) or tiles(places, *rest))
+    got = clusters.density_peaks(df).groupBy("cluster_id", "size", "density", "peak").count().collect()
+    assert seen == [7, 7] and count is clusters._count_near
+    assert sorted(map(tuple, got))[0] == (0, 2 * n, 2 * n, 0, 2 * n) and len(got) == 6
 
 
 def test_strays_and_nulls(spark):

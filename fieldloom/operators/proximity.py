@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.projection import DEGREES, UNITS, cached_proj, east_north_arrays, with_east_north
-from fieldloom.session import checkpoint, sized_join
+from fieldloom.session import checkpoint, sized_join, skewed_join
 
 #: Edge of the finest cell in metres; a cell of level n has 2**n times that edge.
 CELL = 1.0
@@ -28,11 +28,18 @@ OFFSET = 1 << 22
 LEVELS = 25
 #: A cell with more positions than this is joined by salts.
 HOT = 4000
+#: Members of a position above which they are met in shares.
+CROWD = 5000
+#: Levels of the cells that join regions and points, and the most of them that the box of a region may touch.
+BLOCKS = (9, 13, 17, 21, 25)
+TOUCHED = 64
 
 
 def spread_bits(value: Column) -> Column:
-    """Put a zero between the bits of a non-negative number: its binary digits read in base 4."""
-    return F.conv(F.bin(value), 4, 10).cast("bigint")
+    """Put a zero between the bits of a non-negative number below 2**32, by shifts and masks."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
 
 
 def morton(x: Column, y: Column) -> Column:
@@ -66,22 +73,35 @@ def located(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def positions(points: DataFrame, id: str = "rec_id") -> tuple[DataFrame, DataFrame]:
-    """Distinct positions with their smallest id as ``rep``, and the membership (id, rep)."""
-    places = points.groupBy("east", "north").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("copies"))
-    members = points.join(places.select("east", "north", "rep"), ["east", "north"]).select(F.col(id), "rep")
+    """Distinct positions with their smallest id as ``rep``, and the membership (id, rep). ``points`` is read twice."""
+    places = checkpoint(points.groupBy("east", "north").agg(F.min(id).alias("rep"), F.count(F.lit(1)).alias("copies")))
+    members = skewed_join(points, places, ["east", "north"], "copies").select(F.col(id), "rep")
     return places, members
 
 
-def range_join(points: DataFrame, ranges: DataFrame, level: int, salt_by: str) -> DataFrame:
-    """Points whose ``code`` lies in ``[lo, hi)``; no range crosses a cell of ``level``.
+def with_members(left: DataFrame, members: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """Join ``left`` (rep, ...) to the members of its positions as ``name``; members of crowded ones are met in shares."""
+    named = members.select("rep", F.col(members.columns[0]).alias(name))
+    crowded = places.where(F.col("copies") > CROWD).select("rep", F.ceil(F.col("copies") / CROWD).cast("int").alias("_n"))
+    if not crowded.take(1):
+        return left.join(named, "rep")
+    one = F.coalesce(F.col("_n"), F.lit(1))
+    spread = sized_join(left, crowded, ["rep"], "left", salt_by="rep").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
+    shares = sized_join(named, crowded, ["rep"], "left", salt_by=name).withColumn("_salt", F.pmod(F.xxhash64(name), one).cast("int")).drop("_n")
+    return spread.join(shares, ["rep", "_salt"]).drop("_salt")
+
 
-    The prefix of that level is the equi-join key; the ranges are broadcast if
+def range_join(points: DataFrame, ranges: DataFrame, levels: Sequence[int], salt_by: str) -> DataFrame:
+    """Points whose ``code`` lies in ``[lo, hi)``; no range crosses a cell of its own ``level``.
+
+    The level and the prefix of that level are the equi-join key; points are
+    repeated for each of the ``levels`` that occur. The ranges are broadcast if
     their counted size allows, else both sides are shuffled with salts.
     """
-    shift = 2 * level
-    keyed = points.withColumn("_block", F.shiftright("code", shift))
-    cover = ranges.withColumn("_block", F.shiftright("lo", shift))
-    return sized_join(keyed, cover, ["_block"], "inner", salt_by=salt_by).where((F.col("code") >= F.col("lo")) & (F.col("code") < F.col("hi"))).drop("_block")
+    keyed = points.withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)))) if levels else points.withColumn("level", F.lit(0)).where(F.lit(False))
+    keyed = keyed.withColumn("_block", F.expr("shiftright(code, 2 * level)"))
+    cover = ranges.withColumn("_block", F.expr("shiftright(lo, 2 * level)"))
+    return sized_join(keyed, cover, ["level", "_block"], "inner", salt_by=salt_by).where((F.col("code") >= F.col("lo")) & (F.col("code") < F.col("hi"))).drop("_block", "level")
 
 
 def near_links(places: DataFrame, radius: float = 1.0) -> DataFrame:
@@ -100,7 +120,7 @@ def near_links(places: DataFrame, radius: float = 1.0) -> DataFrame:
     disc = base.withColumn("_i", F.explode(sides("east"))).withColumn("_j", F.explode(sides("north")))
     start = OFFSET // 2**level
     disc = disc.select(F.col("rep").alias("rep_b"), F.col("east").alias("e_b"), F.col("north").alias("n_b"), (spread_bits(F.col("_i") + start) + 2 * spread_bits(F.col("_j") + start)).alias("_cell"))
-    hot = home.groupBy("_cell").count().where(F.col("count") > HOT).select("_cell", F.least(F.ceil(F.col("count") / HOT), F.lit(512)).cast("int").alias("_n"))
+    hot = home.groupBy("_cell").count().where(F.col("count") > HOT).select("_cell", F.ceil(F.col("count") / HOT).cast("int").alias("_n"))
     one = F.coalesce(F.col("_n"), F.lit(1))
     home = sized_join(home, hot, ["_cell"], "left", salt_by="rep").withColumn("_salt", F.pmod(F.xxhash64("rep"), one).cast("int")).drop("_n")
     disc = sized_join(disc, hot, ["_cell"], "left", salt_by="rep_b").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
@@ -136,26 +156,47 @@ def read_ring(ring: str | None, proj: str | None, density: int = 16) -> np.ndarr
     return out if len(out) >= 3 and np.isfinite(out).all() else None
 
 
-def _crosses(box: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether any edge a->b meets the closed box (x0, y0, x1, y1)."""
-    lo, hi = np.zeros(len(a)), np.ones(len(a))
-    ok = np.ones(len(a), bool)
-    for axis in (0, 1):
-        d, p = b[:, axis] - a[:, axis], a[:, axis]
+def _crosses(boxes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which closed boxes (x0, y0, x1, y1) any edge a->b meets, in parts of bounded size."""
+    out = np.zeros(len(boxes), bool)
+    part = max(1, 1_000_000 // max(1, len(a)))
+    for i in range(0, len(boxes), part):
+        box = boxes[i:i + part, None, :]
+        lo, hi = np.zeros((box.shape[0], len(a))), np.ones((box.shape[0], len(a)))
+        ok = np.ones(lo.shape, bool)
+        for axis in (0, 1):
+            d, p = (b[:, axis] - a[:, axis])[None, :], a[:, axis][None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t0, t1 = (box[..., axis] - p) / d, (box[..., axis + 2] - p) / d
+            flat = np.broadcast_to(d == 0, lo.shape)
+            ok &= ~flat | ((p >= box[..., axis]) & (p <= box[..., axis + 2]))
+            lo = np.where(flat, lo, np.maximum(lo, np.minimum(t0, t1)))
+            hi = np.where(flat, hi, np.minimum(hi, np.maximum(t0, t1)))
+        out[i:i + part] = (ok & (lo <= hi)).any(axis=1)
+    return out
+
+
+def _inside(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Even-odd test of points against the ring of edges a->b."""
+    x, y = np.atleast_1d(np.asarray(x, float)), np.atleast_1d(np.asarray(y, float))
+    out = np.zeros(len(x), bool)
+    part = max(1, 1_000_000 // max(1, len(a)))
+    for i in range(0, len(x), part):
+        u, v = x[i:i + part, None], y[i:i + part, None]
+        turn = (a[None, :, 1] > v) != (b[None, :, 1] > v)
         with np.errstate(divide="ignore", invalid="ignore"):
-            t0, t1 = (box[axis] - p) / d, (box[axis + 2] - p) / d
-        flat = d == 0
-        ok &= ~flat | ((p >= box[axis]) & (p <= box[axis + 2]))
-        lo = np.where(flat, lo, np.maximum(lo, np.minimum(t0, t1)))
-        hi = np.where(flat, hi, np.minimum(hi, np.maximum(t0, t1)))
-    return bool((ok & (lo <= hi)).any())
+            at = (b[:, 0] - a[:, 0]) * (v - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
+        out[i:i + part] = (turn & (u < at)).sum(axis=1) % 2 == 1
+    return out
 
 
-def _inside(x: float, y: float, a: np.ndarray, b: np.ndarray) -> bool:
-    turn = (a[:, 1] > y) != (b[:, 1] > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return bool((turn & (x < at)).sum() % 2)
+def block_level(at: np.ndarray) -> int:
+    """Finest level of ``BLOCKS`` of which the box of a ring touches at most ``TOUCHED`` cells."""
+    for level in BLOCKS:
+        span = np.floor(at.max(axis=0) / (CELL * 2**level)) - np.floor(at.min(axis=0) / (CELL * 2**level)) + 1
+        if span.prod() <= TOUCHED:
+            return level
+    return BLOCKS[-1]
 
 
 def cover_ring(at: np.ndarray, block: int, budget: int = 160) -> list[tuple[int, int, bool]]:
@@ -166,24 +207,24 @@ def cover_ring(at: np.ndarray, block: int, budget: int = 160) -> list[tuple[int,
     """
     a, b = at, np.roll(at, -1, axis=0)
     edge = CELL * 2**block
-    x0, y0 = (np.floor(at.min(axis=0) / edge)).astype(int)
-    x1, y1 = (np.floor(at.max(axis=0) / edge)).astype(int)
-    open_cells = [(block, i, j) for i in range(x0, x1 + 1) for j in range(y0, y1 + 1)]
-    inner, level = [], block
+    low, high = np.floor(at.min(axis=0) / edge).astype(np.int64), np.floor(at.max(axis=0) / edge).astype(np.int64)
+    cells = np.stack(np.meshgrid(np.arange(low[0], high[0] + 1), np.arange(low[1], high[1] + 1), indexing="ij"), axis=-1).reshape(-1, 2)
+    inner, number, level = [], 0, block
     while True:
-        on = []
-        for lv, i, j in open_cells:
-            w = CELL * 2**lv
-            if _crosses(np.array([i * w, j * w, (i + 1) * w, (j + 1) * w]), a, b):
-                on.append((lv, i, j))
-            elif _inside((i + 0.5) * w, (j + 0.5) * w, a, b):
-                inner.append((lv, i, j))
-        if level == 0 or 4 * len(on) + len(inner) > budget and level < block:
+        w = CELL * 2**level
+        on = _crosses(np.column_stack([cells * w, (cells + 1) * w]), a, b)
+        off = cells[~on]
+        whole = off[_inside((off[:, 0] + 0.5) * w, (off[:, 1] + 0.5) * w, a, b)]
+        inner.append((level, whole))
+        number += len(whole)
+        cells = cells[on]
+        if level == 0 or 4 * len(cells) + number > budget and level < block:
             break
         level -= 1
-        open_cells = [(level, 2 * i + p, 2 * j + q) for _, i, j in on for p in (0, 1) for q in (0, 1)]
-    start = lambda c: morton_number(c[1] * 2 ** c[0] + OFFSET, c[2] * 2 ** c[0] + OFFSET)
-    ranges = sorted([(start(c), start(c) + 4 ** c[0], True) for c in inner] + [(start(c), start(c) + 4 ** c[0], False) for c in on])
+        cells = (2 * cells[:, None, :] + np.array([(0, 0), (0, 1), (1, 0), (1, 1)])[None]).reshape(-1, 2)
+    start = lambda lv, c: morton_number(int(c[0]) * 2**lv + OFFSET, int(c[1]) * 2**lv + OFFSET)
+    parts = [(lv, c, True) for lv, group in inner for c in group] + [(level, c, False) for c in cells]
+    ranges = sorted((start(lv, c), start(lv, c) + 4**lv, whole) for lv, c, whole in parts)
     out: list[tuple[int, int, bool]] = []
     for lo, hi, whole in ranges:  # neighbours of one kind within a block become one range
         if out and out[-1][1] == lo and out[-1][2] == whole and out[-1][0] >> 2 * block == lo >> 2 * block:
@@ -193,19 +234,20 @@ def cover_ring(at: np.ndarray, block: int, budget: int = 160) -> list[tuple[int,
     return out
 
 
-def region_ranges(plots: DataFrame, block: int = 9) -> DataFrame:
-    """One row per region: plot_id, its vertices and its ranges of codes. Unreadable rings give none."""
+def region_ranges(plots: DataFrame) -> DataFrame:
+    """One row per region: plot_id, the level of its blocks, its vertices and ranges of codes. Unreadable rings give none."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for plot, proj, ring in zip(batch["plot_id"], batch["proj"], batch["ring"]):
-                if (at := read_ring(ring, proj)) is not None:
-                    cover = cover_ring(at, block)
-                    rows.append((plot, at[:, 0].tolist(), at[:, 1].tolist(), [c[0] for c in cover], [c[1] for c in cover], [c[2] for c in cover]))
-            yield pd.DataFrame(rows, columns=["plot_id", "xs", "ys", "lo", "hi", "inner"])
+                if (at := read_ring(ring, proj)) is not None and at.min() > -OFFSET * CELL and at.max() < (2**LEVELS - OFFSET) * CELL:
+                    level = block_level(at)
+                    cover = cover_ring(at, level)
+                    rows.append((plot, level, at[:, 0].tolist(), at[:, 1].tolist(), [c[0] for c in cover], [c[1] for c in cover], [c[2] for c in cover]))
+            yield pd.DataFrame(rows, columns=["plot_id", "level", "xs", "ys", "lo", "hi", "inner"]).astype({"level": "int32"})
 
-    return plots.select("plot_id", "proj", "ring").mapInPandas(read, "plot_id bigint, xs array<double>, ys array<double>, lo array<bigint>, hi array<bigint>, inner array<boolean>")
+    return plots.select("plot_id", "proj", "ring").mapInPandas(read, "plot_id bigint, level int, xs array<double>, ys array<double>, lo array<bigint>, hi array<bigint>, inner array<boolean>")
 
 
 def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
@@ -220,13 +262,15 @@ def in_ring(x: Column, y: Column, xs: Column, ys: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(xs) - 1), F.lit(False), step)
 
 
-def within_regions(places: DataFrame, plots: DataFrame, block: int = 9) -> DataFrame:
+def within_regions(places: DataFrame, plots: DataFrame) -> DataFrame:
     """Pairs (rep, plot_id) of positions and the regions that contain them."""
-    # Covering is Python work of some milliseconds a region: spread it and do it once.
-    regions = checkpoint(region_ranges(plots.repartition(F.col("plot_id")), block))
-    ranges = regions.select("plot_id", F.explode(F.arrays_zip("lo", "hi", "inner")).alias("r")).select("plot_id", "r.lo", "r.hi", "r.inner")
+    # Covering is Python work of a millisecond a region: a numbered repartition spreads it, and it is done once.
+    spread = max(8, int(plots.sparkSession.conf.get("spark.sql.shuffle.partitions")), plots.sparkSession.sparkContext.defaultParallelism)
+    regions = checkpoint(region_ranges(plots.repartition(spread, "plot_id")))
+    levels = sorted(r["level"] for r in regions.select("level").distinct().collect())
+    ranges = regions.select("plot_id", "level", F.explode(F.arrays_zip("lo", "hi", "inner")).alias("r")).select("plot_id", "level", "r.lo", "r.hi", "r.inner")
     coded = places.select("rep", "east", "north").withColumn("code", morton(F.col("east"), F.col("north")))
-    met = range_join(coded, ranges, block, "rep")
+    met = range_join(coded, ranges, levels, "rep")
     sure = met.where("inner").select("rep", "plot_id")
     rings = regions.select("plot_id", "xs", "ys")
     rest = sized_join(met.where("not inner").select("rep", "plot_id", "east", "north"), rings, ["plot_id"], "inner", salt_by="rep", width=512)
@@ -243,13 +287,12 @@ def near_and_within(stems: DataFrame, plots: DataFrame, radius: float = 1.0) ->
     empty result, and other columns are not read.
     """
     points = checkpoint(located(stems.select("rec_id", "x", "y", "proj"), ["rec_id"]))
-    places, members = map(checkpoint, positions(points))
-    links = near_links(places, radius).select("rep_a", "rep_b")
-    a, b = members.select(F.col("rec_id").alias("a"), F.col("rep").alias("rep_a")), members.select(F.col("rec_id").alias("b"), F.col("rep").alias("rep_b"))
-    apart = links.join(a, "rep_a").join(b, "rep_b").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
-    crowded = places.where("copies > 1").select(F.col("rep").alias("rep_a"))
-    shared = a.join(crowded, "rep_a", "left_semi")
-    same = shared.join(b.withColumnRenamed("rep_b", "rep_a"), "rep_a").where("a < b").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
-    near = apart.unionByName(same).select(F.lit("near").alias("kind"), "id_a", "id_b")
-    held = within_regions(places, plots).withColumnRenamed("rep", "rep_a").join(a, "rep_a")
-    return near.unionByName(held.select(F.lit("within").alias("kind"), F.col("a").alias("id_a"), F.col("plot_id").alias("id_b")))
+    places, members = positions(points)
+    members = checkpoint(members)
+    links = near_links(places, radius).select(F.col("rep_a").alias("rep"), "rep_b")
+    apart = with_members(with_members(links, members, places, "a").select(F.col("rep_b").alias("rep"), "a"), members, places, "b")
+    shared = members.join(places.where("copies > 1").select("rep"), "rep", "left_semi").select("rep", F.col("rec_id").alias("a"))
+    same = with_members(shared, members, places, "b").where("a < b")
+    near = apart.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).unionByName(same.select(F.col("a").alias("id_a"), F.col("b").alias("id_b")))
+    held = with_members(within_regions(places, plots), members, places, "a")
+    return near.select(F.lit("near").alias("kind"), "id_a", "id_b").unionByName(held.select(F.lit("within").alias("kind"), F.col("a").alias("id_a"), F.col("plot_id").alias("id_b")))

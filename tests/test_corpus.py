@@ -54,7 +54,7 @@ def test_mixture():
     assert units.fit_log_mixture(np.array([]), np.array([]), offsets)["weights"].sum() == pytest.approx(1)
 
 
-def test_proximity(spark):
+def test_proximity(spark, monkeypatch):
     rng = np.random.default_rng(3)
     at = np.column_stack([380000 + rng.random(400) * 30, 5410000 + rng.random(400) * 30]).round(3)
     rows = [(i, float(x), float(y), "EPSG:25832" if i % 2 else None, "z") for i, (x, y) in enumerate(at)]
@@ -62,6 +62,8 @@ def test_proximity(spark):
     stems = spark.createDataFrame(rows, "rec_id bigint, x double, y double, proj string, rep string")
     box = "POLYGON ((380005 5410005, 380020 5410005, 380020 5410020, 380012 5410012, 380005 5410020))"
     plots = spark.createDataFrame([(1000, box, None), (1001, "nothing", None), (1002, None, None), (1003, "Polygon((1246725 17749000, 1246726 17749000, 1246726 17749001))", "+proj=utm +zone=32 +units=ft")], "plot_id bigint, ring string, proj string")
+    monkeypatch.setattr(proximity, "CROWD", 1)
+    monkeypatch.setattr(proximity.skewed_join, "__defaults__", (1,))
     got = {(r.kind, r.id_a, r.id_b) for r in proximity.near_and_within(stems, plots).collect()}
     clean = [(i, x, y) for i, x, y, *_ in rows if x is not None and x == x]
     near = {("near", min(i, j), max(i, j)) for i, x, y in clean for j, u, v in clean if i < j and (x - u) ** 2 + (y - v) ** 2 <= 1}
@@ -71,6 +73,20 @@ def test_proximity(spark):
     assert proximity.near_and_within(stems.where("rec_id < 0"), plots).count() == 0
 
 
+def test_wide_regions(spark):
+    """A ring with one vertex far away is covered in few ranges, beside a small one."""
+    far = np.array([(380000.0, 5410000.0), (380100.0, 5410000.0), (3000000.0, 2000000.0)])
+    assert proximity.block_level(far) > proximity.BLOCKS[0] and len(proximity.cover_ring(far, proximity.block_level(far))) < 400
+    text = "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in far) + "))"
+    plots = spark.createDataFrame([(1, text, None), (2, "POLYGON ((380000 5410000, 380100 5410000, 380100 5410100))", None), (3, "POLYGON ((1 1, 1e9 1, 1 1e9))", None)], "plot_id bigint, ring string, proj string")
+    rng = np.random.default_rng(2)
+    at = np.concatenate([[380000, 5410000] + rng.random((80, 2)) * 200 - 50, [400000, 5380000] + rng.random((80, 2)) * 9e4 - 4e4])
+    places = spark.createDataFrame([(i, float(x), float(y), 1) for i, (x, y) in enumerate(at)], "rep bigint, east double, north double, copies bigint")
+    got = {(r.rep, r.plot_id) for r in proximity.within_regions(places, plots).collect()}
+    want = {(i, 1) for i in np.flatnonzero(proximity._inside(at[:, 0], at[:, 1], far, np.roll(far, -1, axis=0)))} | {(i, 2) for i, (x, y) in enumerate(at) if x <= 380100 and y - 5410000 <= x - 380000 and y >= 5410000}
+    assert got == want and {p for _, p in want} == {1, 2}
+
+
 def test_morton_cover(spark):
     ring = np.array([(0.0, 0.0), (300.0, 20.0), (280.0, 310.0), (-50.0, 200.0)])
     cover = proximity.cover_ring(ring, 6)

@@ -115,7 +115,7 @@ def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basic counts of every document's whole text, as column expressions."""
-    return quality.text_counts(table(spark, sf_dir, "documents"))
+    return quality.text_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "commonwords"))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p7_checks, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
@@ -157,6 +157,7 @@ SQL = {
             round(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / nullif(len(regexp_extract_all(text, '\p{L}+')), 0), 6) AS mean_word_length,
             round(length(regexp_replace(text, '[\p{L}\p{Nd}\s]+', '', 'g')) / nullif(length(text), 0), 6) AS symbol_ratio,
             len(regexp_extract_all(text, '[^\r\n]*[^\s][^\r\n]*')) AS n_lines,
-            round(len(regexp_extract_all(text, '[^\r\n]*[.!?:;…][ \t]*(\r|\n|$)')) / nullif(len(regexp_extract_all(text, '[^\r\n]*[^\s][^\r\n]*')), 0), 6) AS lines_punctuated
-        FROM documents""",
+            round(len(regexp_extract_all(text, '[^\r\n]*[.!?:;…][ \t]*(\r|\n|$)')) / nullif(len(regexp_extract_all(text, '[^\r\n]*[^\s][^\r\n]*')), 0), 6) AS lines_punctuated,
+            round(len(list_filter(regexp_extract_all(text, '\p{L}+'), lambda w: list_contains(common, lower(w)))) / nullif(len(regexp_extract_all(text, '\p{L}+')), 0), 6) AS common_share
+        FROM documents CROSS JOIN (SELECT list(lower(word)) AS common FROM commonwords WHERE lang IS NOT NULL AND word IS NOT NULL)""",
 }

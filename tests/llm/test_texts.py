@@ -115,26 +115,66 @@ CASES = {
 COMMON = {"en": set("the a of and to in is it was that for with on not be are this they you we if or can when what how there after more then nobody every".split()), "de": set("der die das und in zu den ist nicht mit von es sie er ein eine auf für auch so wie wenn dann nach man wir".split())}
 
 
+BOILERPLATE = ["home", "news", "contact", "help", "© 0000 @"]
+
+
 @pytest.mark.parametrize("kind", list(CASES))
 def test_kinds(kind):
-    profiles = quality.Profiles(COMMON)
+    """With the profiles as they start, before any is fitted."""
+    profiles = quality.Profiles(COMMON | {"it": set("se il è allora nessuno la c’è un dietro e non più di per questo".split())}, BOILERPLATE)
     for text in CASES[kind]:
-        assert quality.describe(text, profiles)["kind"] == kind, text[:60]
+        assert quality.describe(text, profiles, "a.example")["kind"] == kind, text[:60]
+
+
+def test_prose_of_other_scripts():
+    profiles = quality.Profiles(COMMON)
+    for text in ("Если крыша старая, то никто не чинит сарай. За печью есть грязная дорога, и она ведёт к реке. Мы думаем, что каждое окно хранит тихий сад, и это видно утром.", "屋根が古いと、誰も納屋を直しません。ストーブの後ろには泥だらけの道があり、川に続いています。どの窓も静かな庭を守っていると思います。朝になるとそれが見えます。"):
+        assert quality.describe(text, profiles)["kind"] == "prose"
+
+
+def test_boilerplate(spark):
+    """What a language's documents repeat at their edges is learned; entries of lists are not."""
+    rng = np.random.default_rng(5)
+    menu, nouns = "Home News Help Login Map".split(), [f"{w}{e}" for w in "roof path tile mill door shed pond gate barn loft".split() for e in "abcdefghij"]
+    rows = []
+    for i in range(200):
+        top = "\n".join(rng.choice(menu, 3, replace=False)) if i % 2 else " | ".join(rng.choice(menu, 4, replace=False))
+        body = "\n".join(rng.choice(nouns, 25)).title() if i % 5 == 0 else " ".join(f"We think that every {a} keeps a {b} behind the {c}." for a, b, c in rng.choice(nouns, (6, 3)))
+        rows.append((i, f"{top}\n{body}\n© 20{i % 10:02d} h{i % 7}.example", "en" if i % 9 else None, f"h{i % 7}.example"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, host string")
+    found = quality.boilerplate_units(docs)
+    assert set(found) >= {m.lower() for m in menu} | {"© 0000 @"} and not set(found) & set(nouns)
+    lines = quality.main_lines(quality.split_lines(rows[1][1]), "h1.example", frozenset(found))
+    assert len(lines) == 1 and lines[0].startswith("We think")
+
+
+def test_fitted_profiles_move():
+    start = quality.Profiles(COMMON)
+    seen = start.table[0] * 0.9
+    seen[quality.SPAN["columns"][0]] = 0.1
+    fit = start.fitted(np.array([seen] * 20))
+    assert fit.distances(seen)[0] < start.distances(seen)[0] and np.allclose(fit.table[5:], start.table[5:])
+    assert start.fitted(np.zeros((0, quality.WIDTH))).table.shape == start.table.shape
 
 
 def test_divergence():
     assert quality.divergence(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality.divergence(np.array([2.0, 2]), np.array([5.0, 5])) == pytest.approx(0)
+    profiles = quality.Profiles(COMMON)
+    p, q = profiles.table[0], profiles.table[4]
+    by_block = sum(w * quality.divergence(p[slice(*quality.SPAN[b])], q[slice(*quality.SPAN[b])]) for b, (_, w) in quality.BLOCKS.items())
+    assert profiles.distances(p)[4] == pytest.approx(by_block)
 
 
 def test_statistics(spark):
-    docs = spark.createDataFrame([(1, PROSE, "x"), (2, None, "x"), (3, "", "x"), (4, "\n \n", "x"), (5, PROSE * 3000, "x"), (1, PROSE, "x")], "doc_id bigint, text string, kind string")
+    docs = spark.createDataFrame([(1, PROSE, "x", "en", "h"), (2, None, "x", None, None), (3, "", "x", "en", None), (4, "\n \n", "x", "en", "h"), (5, PROSE * 3000, "x", "en", "h"), (1, PROSE, "x", "en", "h")], "doc_id bigint, text string, kind string, lang string, host string")
     words = spark.createDataFrame([("en", w) for w in COMMON["en"]] + [(None, "x"), ("en", None)], "lang string, word string")
-    got = quality.text_statistics(docs, words).collect()
+    got = quality.text_statistics(docs, words, quality.Profiles(COMMON)).collect()
     assert len(got) == 6
     by = {r.doc_id: r for r in got}
     assert by[1].kind == "prose" and by[1].n_words == 34 and by[1].lines_punctuated == 1 and by[1].language == "en"
     assert by[2].kind is None and by[3].kind == by[4].kind == "empty" and by[5].kind == "junk"
-    assert quality.structured_texts(docs, words).count() == 1
-    counts = {r.doc_id: r for r in quality.text_counts(docs).collect()}
-    assert counts[1].n_words == 34 and counts[2].n_words is None and counts[3].mean_word_length is None
+    assert quality.structured_texts(docs, words, quality.Profiles(COMMON)).count() == 1
+    assert quality.text_statistics(docs, words).count() == 6 and quality.structured_texts(docs.where("doc_id > 9"), words.where("false")).count() == 0
+    counts = {r.doc_id: r for r in quality.text_counts(docs, words).collect()}
+    assert counts[1].n_words == 34 and counts[2].n_words is None and counts[3].mean_word_length is None and 0.3 < counts[1].common_share < 0.7

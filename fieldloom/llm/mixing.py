@@ -95,3 +95,22 @@ def mixture_report(mixture: DataFrame, sizes: DataFrame, targets: DataFrame) ->
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("documents", "source_tokens", "mixed_tokens", "most_copies")]
     rows = rows.select("source", "target_share", "max_repeats", *zero)
     return rows.withColumn("actual_share", F.round(F.try_divide("mixed_tokens", F.sum("mixed_tokens").over(Window.partitionBy())), 6))
+
+
+def mixture_checks(mixture: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """For every listed source its rescaled share, and whether the mixture keeps it and its repeats: source, share, kept, unknown.
+
+    kept: no document is repeated beyond ``max_repeats``, and the actual share
+    differs from the rescaled one by no more than the longest document of any
+    source makes out of all tokens. unknown: rows of the mixture that are no
+    document of the source.
+    """
+    report = mixture_report(mixture, sizes, targets)
+    live = F.when((F.col("source_tokens") > 0) & (F.col("max_repeats") > 0), F.col("target_share")).otherwise(F.lit(0.0))
+    share = live / F.sum(live).over(Window.partitionBy())
+    longest = mixture.agg(F.max("tokens").alias("_m"), F.sum(F.col("tokens") * F.col("copies")).alias("_all"))
+    rows = report.withColumn("share", share).join(F.broadcast(longest), F.lit(True), "left")  # one row
+    own = sizes.groupBy("doc_id", "source", "tokens").agg(F.count(F.lit(1)).alias("_n"))
+    strange = mixture.join(own, ["doc_id", "source", "tokens"], "left").groupBy("source").agg(F.count_if(F.col("_n").isNull()).alias("unknown"))
+    kept = (F.col("most_copies") <= F.col("max_repeats")) & (F.abs(F.coalesce("actual_share", F.lit(0.0)) - F.col("share")) <= F.coalesce(F.col("_m") / F.col("_all"), F.lit(0.0)) + 1e-6)
+    return rows.join(strange, "source", "left").select("source", F.round("share", 6).alias("share"), kept.alias("kept"), F.coalesce("unknown", F.lit(0)).alias("unknown"))

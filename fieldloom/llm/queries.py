@@ -104,6 +104,12 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(mixing.mixed(sizes, targets), sizes, targets)
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source keeps its share and its repeats."""
+    sizes, targets = _sizes(spark, sf_dir), table(spark, sf_dir, "mixtargets")
+    return mixing.mixture_checks(checkpoint(mixing.mixed(sizes, targets)), sizes, targets)
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.structured_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "commonwords"))
 
@@ -118,7 +124,7 @@ def p9_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "commonwords"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p7_checks, p8_mixed, p8_report, p9_found, p9_statistics, p9_counts)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p4_found, p4_percentiles, p4_scan_percentiles, p4_days, p4_bounds, p6_found, p6_neighbours, p7_packed, p7_report, p7_checks, p8_mixed, p8_report, p8_checks, p9_found, p9_statistics, p9_counts)}
 
 SQL = {
     "p3_found": """
@@ -152,6 +158,10 @@ SQL = {
         SELECT DISTINCT least(q, r) AS vec_a, greatest(q, r) AS vec_b FROM d WHERE k <= 5""",
     "p7_checks": """
         SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0 AS lost, 0 AS overfull, 0 AS miscounted FROM containers""",
+    "p8_checks": """
+        WITH s AS (SELECT DISTINCT source FROM documents WHERE length(text) > 0),
+        l AS (SELECT t.source, CASE WHEN s.source IS NULL THEN 0 ELSE target_share END AS live FROM mixtargets t LEFT JOIN s ON s.source = t.source)
+        SELECT source, round(live / (SELECT sum(live) FROM l), 6) AS share, TRUE AS kept, 0 AS unknown FROM l""",
     "p9_counts": r"""
         SELECT doc_id, length(text) AS n_chars_text, len(regexp_extract_all(text, '\p{L}+')) AS n_words,
             round(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) / nullif(len(regexp_extract_all(text, '\p{L}+')), 0), 6) AS mean_word_length,

@@ -83,6 +83,10 @@ def test_mixture(spark):
     assert total == pytest.approx(min(have["big"] / 0.375, 3 * have["small"] / 0.625), rel=0.002)
     report = {r.source: r for r in mixing.mixture_report(mixing.mixed(sizes, targets), sizes, targets).collect()}
     assert report["none"].actual_share == 0 and report["small"].actual_share == pytest.approx(0.625, abs=0.002)
+    checks = {r.source: r for r in mixing.mixture_checks(mixing.mixed(sizes, targets), sizes, targets).collect()}
+    assert all(r.kept and r.unknown == 0 for r in checks.values()) and checks["small"].share == 0.625
+    wrong = mixing.mixed(sizes, targets).withColumn("copies", F.when(F.col("source") == "small", 4).otherwise(F.col("copies")))
+    assert not mixing.mixture_checks(wrong, sizes, targets).where("source = 'small'").first().kept
     fixed = mixing.mixed(sizes, targets, 100000).agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0]
     assert fixed == pytest.approx(100000, rel=0.01)
     assert mixing.mixed(sizes.where("doc_id < 0"), targets).count() == 0

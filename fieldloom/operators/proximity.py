@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions.projection import DEGREES, UNITS, cached_proj, east_north_arrays, with_east_north
-from fieldloom.session import checkpoint, sized_join, skewed_join
+from fieldloom.session import checkpoint, fence, sized_join, skewed_join
 
 #: Edge of the finest cell in metres; a cell of level n has 2**n times that edge.
 CELL = 1.0
@@ -107,12 +107,13 @@ def range_join(points: DataFrame, ranges: DataFrame, levels: Sequence[int], salt
 def near_links(places: DataFrame, radius: float = 1.0) -> DataFrame:
     """Pairs of distinct positions at most ``radius`` apart: rep_a < rep_b and sd.
 
-    Cells are at least twice the radius wide, so that the disc around a position
-    touches four cells at most; each of these is one range of codes. A cell
+    Cells are at least four times the radius wide, so that the disc around a
+    position touches four cells at most, and two or so on average; each of these
+    is one range of codes. A cell
     with more than ``HOT`` positions is split by salts on the one side and
     repeated on the other.
     """
-    level = max(0, math.ceil(math.log2(2 * radius / CELL)))
+    level = max(0, math.ceil(math.log2(4 * radius / CELL)))
     edge = CELL * 2**level
     base = places.select("rep", "east", "north")
     home = base.withColumn("_cell", F.shiftright(morton(F.col("east"), F.col("north")), 2 * level))
@@ -120,12 +121,16 @@ def near_links(places: DataFrame, radius: float = 1.0) -> DataFrame:
     disc = base.withColumn("_i", F.explode(sides("east"))).withColumn("_j", F.explode(sides("north")))
     start = OFFSET // 2**level
     disc = disc.select(F.col("rep").alias("rep_b"), F.col("east").alias("e_b"), F.col("north").alias("n_b"), (spread_bits(F.col("_i") + start) + 2 * spread_bits(F.col("_j") + start)).alias("_cell"))
-    hot = home.groupBy("_cell").count().where(F.col("count") > HOT).select("_cell", F.ceil(F.col("count") / HOT).cast("int").alias("_n"))
-    one = F.coalesce(F.col("_n"), F.lit(1))
-    home = sized_join(home, hot, ["_cell"], "left", salt_by="rep").withColumn("_salt", F.pmod(F.xxhash64("rep"), one).cast("int")).drop("_n")
-    disc = sized_join(disc, hot, ["_cell"], "left", salt_by="rep_b").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
+    # Else the join's filter of nulls would be evaluated on the whole expression of the code, without common parts.
+    home, disc = fence(home, "_cell"), fence(disc, "_cell")
+    hot = checkpoint(home.groupBy("_cell").count().where(F.col("count") > HOT).select("_cell", F.ceil(F.col("count") / HOT).cast("int").alias("_n")))
+    keys = ["_cell"]
+    if hot.take(1):
+        one, keys = F.coalesce(F.col("_n"), F.lit(1)), ["_cell", "_salt"]
+        home = sized_join(home, hot, ["_cell"], "left", salt_by="rep").withColumn("_salt", F.pmod(F.xxhash64("rep"), one).cast("int")).drop("_n")
+        disc = sized_join(disc, hot, ["_cell"], "left", salt_by="rep_b").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
     dx, dy = F.col("east") - F.col("e_b"), F.col("north") - F.col("n_b")
-    pairs = home.join(disc, ["_cell", "_salt"]).where(F.col("rep") < F.col("rep_b"))
+    pairs = home.join(disc, keys).where(F.col("rep") < F.col("rep_b"))
     return pairs.select(F.col("rep").alias("rep_a"), "rep_b", (dx * dx + dy * dy).alias("sd")).where(F.col("sd") <= radius * radius)
 
 
@@ -269,12 +274,11 @@ def within_regions(places: DataFrame, plots: DataFrame) -> DataFrame:
     regions = checkpoint(region_ranges(plots.repartition(spread, "plot_id")))
     levels = sorted(r["level"] for r in regions.select("level").distinct().collect())
     ranges = regions.select("plot_id", "level", F.explode(F.arrays_zip("lo", "hi", "inner")).alias("r")).select("plot_id", "level", "r.lo", "r.hi", "r.inner")
-    coded = places.select("rep", "east", "north").withColumn("code", morton(F.col("east"), F.col("north")))
+    coded = fence(places.select("rep", "east", "north").withColumn("code", morton(F.col("east"), F.col("north"))), "code")
     met = range_join(coded, ranges, levels, "rep")
-    sure = met.where("inner").select("rep", "plot_id")
-    rings = regions.select("plot_id", "xs", "ys")
-    rest = sized_join(met.where("not inner").select("rep", "plot_id", "east", "north"), rings, ["plot_id"], "inner", salt_by="rep", width=512)
-    return sure.unionByName(rest.where(in_ring(F.col("east"), F.col("north"), F.col("xs"), F.col("ys"))).select("rep", "plot_id"))
+    # One pass: the ring is tested only where the cell lies on the boundary.
+    ringed = sized_join(met.select("rep", "plot_id", "east", "north", "inner"), regions.select("plot_id", "xs", "ys"), ["plot_id"], "inner", salt_by="rep", width=512)
+    return ringed.where(F.col("inner") | in_ring(F.col("east"), F.col("north"), F.col("xs"), F.col("ys"))).select("rep", "plot_id")
 
 
 def near_and_within(stems: DataFrame, plots: DataFrame, radius: float = 1.0) -> DataFrame:

@@ -55,15 +55,16 @@ def _square(dim: int) -> Column:
     return sdist([f"q_{i}" for i in range(dim)], [f"r_{i}" for i in range(dim)])
 
 
-def ball(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | str, id: str = "id", ref_id: str | None = None, edge: float | None = None, skew: bool = True) -> DataFrame:
+def ball(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | str, id: str = "id", ref_id: str | None = None, edge: float | None = None, skew: bool = True, carry: Sequence[str] = ()) -> DataFrame:
     """All pairs at most ``r`` apart: q_id, r_id, sd (squared distance).
 
     ``r`` is a number, or the name of a column of ``queries`` with a radius per
     row (negative or null: no neighbours). A self-join contains each row itself.
+    Columns in ``carry`` come out of both sides as q_... and r_....
     """
     dim = len(axes)
     if isinstance(r, str):
-        q = points(queries, axes, id, "q_", [r]).where(F.col("q_" + r) >= 0)
+        q = points(queries, axes, id, "q_", [r, *(c for c in carry if c != r)]).where(F.col("q_" + r) >= 0)
         radius: Column = F.col("q_" + r)
         if edge is None:
             top = q.agg(F.percentile_approx("q_" + r, 0.5).alias("m")).first()["m"]
@@ -71,10 +72,10 @@ def ball(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | st
     else:
         if r < 0:
             raise ValueError("negative radius")
-        q, radius = points(queries, axes, id, "q_"), F.lit(float(r))
+        q, radius = points(queries, axes, id, "q_", carry), F.lit(float(r))
         edge = edge or (2 * r if r > 0 else 1.0)
-    pairs = _cell_join(q, points(refs, axes, ref_id or id, "r_"), dim, radius, [edge] * dim, _square(dim) <= radius * radius, skew)
-    return pairs.select("q_id", "r_id", _square(dim).alias("sd"))
+    pairs = _cell_join(q, points(refs, axes, ref_id or id, "r_", carry), dim, radius, [edge] * dim, _square(dim) <= radius * radius, skew)
+    return pairs.select("q_id", "r_id", _square(dim).alias("sd"), *(f"{side}_{c}" for c in carry for side in "qr"))
 
 
 def ball_count(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | str, id: str = "id", ref_id: str | None = None) -> DataFrame:

@@ -305,8 +305,8 @@ def min_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.min_filter(ev2(spark, sf_dir), AXES, "y", 1.5)
 
 
-def _greedy_sql(rounds: int = 12) -> str:
-    """The greedy walk in rounds, each a few plain CTEs; enough rounds for the events of the correctness scale."""
+def _greedy_sql(rounds: int = 40) -> str:
+    """The greedy walk in rounds, each a few plain CTEs; more rounds than the events of scale 0.1 need."""
     parts = [f"""WITH {EV2}, p AS MATERIALIZED ({near_sql("ev2", "ev2", "1.0", "a.id <> b.id")}),
     e0 AS MATERIALIZED (SELECT q_id AS src, r_id AS dst FROM p WHERE ay > by_ OR (ay = by_ AND q_id > r_id)), u0 AS MATERIALIZED (SELECT id FROM ev2)"""]
     for i in range(rounds):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import affine
 from fieldloom.functions.distance import Point, as_columns, norm, snorm
+from fieldloom.session import checkpoint
 
 
 def rad_to_deg(angle: Column) -> Column:
@@ -237,11 +238,13 @@ def surface_intersection(lines: DataFrame, height: Callable[[DataFrame, str, str
     ``height(df, x, y, out)`` adds the surface's height at two columns. Returns
     id, x, y, z; a line that has not come within ``eps`` after ``max_iter``
     rounds, or that has no vertical part, gives nulls. One round is one pass of
-    ``height``; rounds are unrolled into one plan for closed-form surfaces.
+    ``height``; every second one is written to a table.
     """
     rows = lines.withColumns({"_x": F.col("ox"), "_y": F.col("oy"), "_z": F.col("oz"), "_done": F.lit(False)})
     steep = F.when(F.abs("vz") > 1e-12, F.col("vz"))
-    for _ in range(max_iter):
+    for i in range(max_iter):
+        if i % 2:  # a long chain of expressions would not be compiled
+            rows = checkpoint(rows)
         rows = height(rows, "_x", "_y", "_h")
         k = (F.col("_h") - F.col("oz")) / steep
         rows = rows.withColumn("_done", F.coalesce(F.abs(F.col("_z") - F.col("_h")) < eps, F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -75,6 +75,11 @@ def majority_clusters(df: DataFrame, axes: Sequence[str], r: float, id: str = "i
     (if ``auto_set``); a tie leaves it at -1. All rows whose earlier neighbours
     are settled are settled in one round; rounds end after the longest chain.
     """
+    return _walk_clusters(df, axes, r, lambda votes: majority(votes, ["q_id"], "label"), id, order, seeds, auto_set)
+
+
+def _walk_clusters(df: DataFrame, axes: Sequence[str], r: float, vote: Callable[[DataFrame], DataFrame], id: str, order: Column | None, seeds: DataFrame | None, auto_set: bool) -> DataFrame:
+    """Rounds of the walk; ``vote`` turns (q_id, r_id, label) into one label for each q_id."""
     valid = joins.points(df, axes, id).select("id")
     pairs = checkpoint(joins.ball(df, df, axes, r, id).select("q_id", "r_id"))
     if order is None:
@@ -92,8 +97,8 @@ def majority_clusters(df: DataFrame, axes: Sequence[str], r: float, id: str = "i
         seeded = seeds.select(F.col(id).alias("id"), F.col("label").cast("bigint").alias("label")).where("label <> -1")
         top = seeded.agg(F.max("label").alias("m")).first()["m"]
         top = -1 if top is None else top
-        later = other.where("not earlier").join(seeded.withColumnRenamed("id", "r_id"), "r_id").select("q_id", "label")
-        seed_votes = checkpoint(later.unionByName(seeded.select(F.col("id").alias("q_id"), "label")))
+        later = other.where("not earlier").join(seeded.withColumnRenamed("id", "r_id"), "r_id").select("q_id", "r_id", "label")
+        seed_votes = checkpoint(later.unionByName(seeded.select(F.col("id").alias("q_id"), F.col("id").alias("r_id"), "label")))
     open_nodes, open_edges = rank.select("id"), earlier
     labels: DataFrame | None = None
     while True:
@@ -101,16 +106,16 @@ def majority_clusters(df: DataFrame, axes: Sequence[str], r: float, id: str = "i
         asked = ready.select(F.col("id").alias("q_id"))
         votes = None
         if labels is not None:
-            votes = earlier.join(asked, "q_id", "left_semi").join(labels.where("label <> -1").select(F.col("id").alias("r_id"), "label"), "r_id").select("q_id", "label")
+            votes = earlier.join(asked, "q_id", "left_semi").join(labels.where("label <> -1").select(F.col("id").alias("r_id"), "label"), "r_id").select("q_id", "r_id", "label")
         if seed_votes is not None:
-            mine = seed_votes.join(asked, "q_id", "left_semi").select("q_id", "label")
+            mine = seed_votes.join(asked, "q_id", "left_semi").select("q_id", "r_id", "label")
             votes = mine if votes is None else votes.unionByName(mine)
         # New clusters are named by their first row, below -1, until the end.
         new = (F.lit(-2).cast("bigint") - F.col("q_id")) if auto_set else F.lit(-1).cast("bigint")
         if votes is None:
             got = asked.select(F.col("q_id").alias("id"), new.alias("label"))
         else:
-            got = asked.join(majority(votes, ["q_id"], "label"), "q_id", "left").select(F.col("q_id").alias("id"), F.coalesce("label", new).alias("label"))
+            got = asked.join(vote(votes), "q_id", "left").select(F.col("q_id").alias("id"), F.coalesce("label", new).alias("label"))
         then = checkpoint(got if labels is None else labels.unionByName(got))
         drop_checkpoint(labels)
         labels = then
@@ -125,6 +130,27 @@ def majority_clusters(df: DataFrame, axes: Sequence[str], r: float, id: str = "i
     return out.select(F.col("id").alias(id), "label")
 
 
+def clustering(df: DataFrame, axes: Sequence[str], r: float, get_class: Callable[[list], int], id: str = "id", order: Column | None = None, seeds: DataFrame | None = None, auto_set: bool = True) -> DataFrame:
+    """Labels by a function of the labels within r, in order: id, label.
+
+    Like ``majority_clusters``, with ``get_class`` in place of the majority: it
+    gets the labels other than -1 within r of a row, as a list sorted by the
+    rows' ids, and returns one of them or -1; a row without any starts a cluster
+    (if ``auto_set``). The function is called in Arrow batches, once per row;
+    a row's list is as long as its neighbourhood.
+    """
+
+    @F.pandas_udf("bigint")
+    def pick(labels: pd.Series) -> pd.Series:
+        return pd.Series([int(get_class(list(v))) for v in labels], dtype="int64")
+
+    def vote(votes: DataFrame) -> DataFrame:
+        lists = votes.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("r_id", "label"))).alias("_l"))
+        return lists.select("q_id", pick(F.col("_l.label")).alias("label"))
+
+    return _walk_clusters(df, axes, r, vote, id, order, seeds, auto_set)
+
+
 def weight_clusters(df: DataFrame, axes: Sequence[str], r: float, seeds: DataFrame, id: str = "id", weights: str | None = None, order: str | None = None) -> DataFrame:
     """Labels by the largest weight of the labels within r, with weights that change on the way: id, label.
 

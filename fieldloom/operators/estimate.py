@@ -7,7 +7,7 @@ one set and in vectorised Arrow calls for many. Coordinates are centred first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -66,6 +66,14 @@ def pca(df: DataFrame, axes: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, values
 
 
+def components_of(system: np.ndarray, k: int) -> np.ndarray:
+    """The k-th principal axis, from 1, of the local system that ``pca`` gives."""
+    dim = len(system) - 1
+    if not 1 <= k <= dim:
+        raise ValueError(f"components are numbered from 1 to {dim}")
+    return np.asarray(system)[k - 1, :dim]
+
+
 def explained_variance(df: DataFrame, axes: Sequence[str], system: np.ndarray) -> DataFrame:
     """Population variance along each local axis, and its share: one row, var_i and ratio_i."""
     local = affine.to_local(axes, system)
@@ -156,9 +164,11 @@ def prefer_orientation(normal: Sequence[Column | str], preferred: Sequence[float
     return [F.when(zero, F.lit(float(u))).when(away, -a).otherwise(a) for a, u in zip(axes, unit)]
 
 
-def approximate_normals(df: DataFrame, axes: Sequence[str], r: float, id: str = "id", preferred: Sequence[float] | None = None) -> DataFrame:
+def approximate_normals(df: DataFrame, axes: Sequence[str], r: float, id: str = "id", preferred: Sequence[float] | None = None, k: int | None = None) -> DataFrame:
     """Normals fitted at few rows and given to all rows within r of them: id, normal.
 
+    With ``k`` they are fitted to the k nearest rows within r.
+
     Rows are visited by id unless a visited row with enough neighbours is within
     r; of several normals a row is given, the one of the last visited row holds.
     """
@@ -168,7 +178,7 @@ def approximate_normals(df: DataFrame, axes: Sequence[str], r: float, id: str =
     edges = pairs.where("q_id < r_id").select(F.col("q_id").alias("src"), F.col("r_id").alias("dst"))
     edges = edges.join(full.withColumnRenamed("id", "src"), "src", "left_semi").join(full.withColumnRenamed("id", "dst"), "dst", "left_semi")
     visited = _greedy(edges, full)
-    near = _neighbourhoods(df, axes, r, None, id).join(visited.withColumnRenamed("id", "q_id"), "q_id", "left_semi")
+    near = _neighbourhoods(df, axes, r, k, id).join(visited.withColumnRenamed("id", "q_id"), "q_id", "left_semi")
     normals = group_vectors(near, ["q_id"], [F.col(f"d{i}") for i in range(dim)], 0).select("q_id", "vector")
     given = pairs.join(normals, "q_id").groupBy("r_id").agg(F.max_by("vector", "q_id").alias("normal"))
     zero = F.array(*[F.lit(0.0)] * dim)
@@ -178,27 +188,27 @@ def approximate_normals(df: DataFrame, axes: Sequence[str], r: float, id: str =
     return out
 
 
-def _smooth(df: DataFrame, axes: Sequence[str], pairs_of, rounds: int, update: bool, id: str) -> DataFrame:  # noqa: ANN001
+def _smooth(df: DataFrame, axes: Sequence[str], pairs_of, rounds: int, update: bool, id: str, f: Callable[[str], Column]) -> DataFrame:  # noqa: ANN001
     now = checkpoint(df.select(id, *(F.col(a).cast("double").alias(a) for a in axes)))
     pairs = None
     for _ in range(rounds):
         if pairs is None or update:
             pairs = checkpoint(pairs_of(now).select("q_id", "r_id"))
-        moved = pairs.join(now.withColumnRenamed(id, "r_id"), "r_id").groupBy(F.col("q_id").alias(id)).agg(*(F.avg(a).alias(a) for a in axes))
+        moved = pairs.join(now.withColumnRenamed(id, "r_id"), "r_id").groupBy(F.col("q_id").alias(id)).agg(*(f(a).alias(a) for a in axes))
         then = checkpoint(moved)
         drop_checkpoint(now)
         now = then
     return now
 
 
-def mean_ball(df: DataFrame, axes: Sequence[str], r: float, rounds: int = 1, update: bool = False, id: str = "id") -> DataFrame:
-    """Rows moved to the mean of the rows within r, ``rounds`` times; all rows of a round move at once."""
-    return _smooth(df, axes, lambda now: joins.ball(now, now, axes, r, id), rounds, update, id)
+def mean_ball(df: DataFrame, axes: Sequence[str], r: float, rounds: int = 1, update: bool = False, id: str = "id", f: Callable[[str], Column] = F.avg) -> DataFrame:
+    """Rows moved to the mean (or the aggregate ``f``) of the rows within r, ``rounds`` times; all rows of a round move at once."""
+    return _smooth(df, axes, lambda now: joins.ball(now, now, axes, r, id), rounds, update, id, f)
 
 
-def mean_knn(df: DataFrame, axes: Sequence[str], k: int, rounds: int = 1, update: bool = False, id: str = "id") -> DataFrame:
+def mean_knn(df: DataFrame, axes: Sequence[str], k: int, rounds: int = 1, update: bool = False, id: str = "id", f: Callable[[str], Column] = F.avg) -> DataFrame:
     """Rows moved to the mean of their k nearest rows (themselves included)."""
-    return _smooth(df, axes, lambda now: joins.knn(now, now, axes, k, id), rounds, update, id)
+    return _smooth(df, axes, lambda now: joins.knn(now, now, axes, k, id), rounds, update, id, f)
 
 
 def sphere_sums(df: DataFrame, axes: Sequence[str], group: Sequence[str] = (), weight: str | None = None) -> DataFrame:

@@ -145,6 +145,22 @@ def is_numeric(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
 
+def is_array(kind: T.DataType) -> bool:
+    return isinstance(kind, T.ArrayType)
+
+
+def has_keys(df: DataFrame) -> bool:
+    """Whether columns are told by name; tables always have names, so whether there are any."""
+    return bool(df.columns)
+
+
+def value_range(kind: str) -> tuple[int, int]:
+    """Smallest and largest value of a whole-number type. Raises ``ValueError`` for others."""
+    if kind not in RANGES:
+        raise ValueError(f"{kind} is no whole-number type")
+    return RANGES[kind]
+
+
 def smallest_type(df: DataFrame, column: str) -> str:
     """Smallest type that holds all values of a column, from one aggregate; floating columns stay."""
     kind = df.schema[column].dataType

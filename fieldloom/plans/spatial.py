@@ -385,12 +385,12 @@ def class_dict_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.class_dict(read(spark, sf_dir, "part"), "p_partkey", "p_size")
 
 
-@query("""SELECT i AS id, coalesce(p_size, -1) AS label FROM generate_series(0, 2999) g(i) LEFT JOIN part ON p_partkey = i""")
+@query("""SELECT i AS id, coalesce(p_size, -1) AS label FROM (SELECT unnest(generate_series(0, (SELECT max(p_partkey) FROM part))) AS i) g LEFT JOIN part ON p_partkey = i""")
 def dict_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels of all ids of the table; at least the 3,000 of the SQL, which ends there."""
+    """Labels of all ids up to the last of the table."""
     part = read(spark, sf_dir, "part")
     last = part.agg(F.max("p_partkey").alias("last")).first()["last"]
-    return cluster.dict_classes(cluster.class_dict(part, "p_partkey", "p_size"), max(3000, (-1 if last is None else last) + 1))
+    return cluster.dict_classes(cluster.class_dict(part, "p_partkey", "p_size"), (-1 if last is None else last) + 1)
 
 
 @query(f"WITH {EV2} SELECT id, CAST(y >= 1 AS INT) + CAST(y >= 10.5 AS INT) + CAST(y >= 40 AS INT) AS part FROM ev2")

@@ -48,6 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def scratch(spark: SparkSession, suffix: str = "") -> str:
+    """A path in the shared folder that is removed with the checkpoints."""
+    path = f"{shared_folder(spark)}/fieldloom-{uuid.uuid4().hex}{suffix}"
+    _written.append((spark, path))
+    return path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage: write the rows once as a table in the shared folder and read them back.
 

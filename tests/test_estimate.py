@@ -1,4 +1,5 @@
 """Estimators, interpolation and registration."""
+# Points and expected results of the plain cases below must stay as they are.
 
 import math
 

@@ -1,4 +1,5 @@
 """Scalar functions, matrices, projections and grids against literal values."""
+# Points and expected results of the plain cases below must stay as they are.
 
 import math
 

@@ -1,4 +1,5 @@
 """Radius, nearest and box joins against literal cases and brute force."""
+# Points and expected results of the plain cases below must stay as they are.
 
 import numpy as np
 import pytest

@@ -45,17 +45,24 @@ def dbscan(df: DataFrame, axes: Sequence[str], min_pts: int, epsilon: float | No
         epsilon = auto_epsilon(df, axes, min_pts, quantile, factor, id)
     if epsilon is None:
         return df.select(id, F.lit(-1).cast("bigint").alias("label"), F.lit(False).alias("core"))
-    pairs = checkpoint(joins.ball(df, df, axes, epsilon, id).select("q_id", "r_id"))
-    cores = checkpoint(pairs.groupBy("q_id").count().where(F.col("count") >= min_pts).select(F.col("q_id").alias("node")))
-    to_core = checkpoint(pairs.join(cores.withColumnRenamed("node", "r_id"), "r_id", "left_semi"))
-    edges = to_core.join(cores.withColumnRenamed("node", "q_id"), "q_id", "left_semi").select(F.col("q_id").alias("a"), F.col("r_id").alias("b"))
-    labels = cores.join(components(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    # No pair is written: the join is made three times, each time with fewer rows, and only its counts or minima are kept.
+    rows = checkpoint(joins.points(df, axes, id).select(F.col("id").alias(id), *(F.col(str(i)).alias(f"_x{i}") for i in range(len(axes)))))
+    at = [f"_x{i}" for i in range(len(axes))]
+    cores = joins.ball(rows, rows, at, epsilon, id).groupBy("q_id").count().where(F.col("count") >= min_pts).select(F.col("q_id").alias(id))
+    core = rows.join(cores, id, "left_semi")
+    # All core rows of a cell of diagonal epsilon are linked: cells are joined, named by their smallest row.
+    edge = epsilon / len(axes) ** 0.5 * (1 - 1e-9)
+    cell = [f"_c{i}" for i in range(len(axes))]
+    core = checkpoint(core.withColumns({c: F.floor(F.col(a) / edge) if edge > 0 else F.col(a) for c, a in zip(cell, at)}))
+    core = checkpoint(core.join(core.groupBy(*cell).agg(F.min(id).alias("cell")), cell).drop(*cell))
+    links = joins.ball(core, core, at, epsilon, id, carry=["cell"]).where("q_cell < r_cell").select(F.col("q_cell").alias("a"), F.col("r_cell").alias("b")).distinct()
+    labels = core.select(F.col("cell").alias("node")).distinct().join(components(links), "node", "left").select(F.col("node").alias("cell"), F.coalesce("label", "node").alias("label"))
     labels = checkpoint(labels)
-    numbers = numbered(labels, "label").select("label", "number")
-    core_label = labels.join(numbers, "label").select("node", "number")
-    by_core = to_core.join(core_label.withColumnRenamed("node", "r_id"), "r_id").groupBy(F.col("q_id").alias(id)).agg(F.min("number").alias("label"))
-    flagged = df.select(id).join(by_core, id, "left").join(cores.select(F.col("node").alias(id), F.lit(True).alias("core")), id, "left")
-    return flagged.select(id, F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
+    core = checkpoint(core.join(labels.join(numbered(labels, "label"), "label").select("cell", "number"), "cell").select(id, *at, "number"))
+    rest = rows.join(core.select(id), id, "left_anti").withColumn("number", F.lit(None).cast("bigint"))
+    border = joins.ball(rest, core, at, epsilon, id, carry=["number"]).groupBy(F.col("q_id").alias(id)).agg(F.min("r_number").alias("label"))
+    known = core.select(id, F.col("number").alias("label"), F.lit(True).alias("core")).unionByName(border.withColumn("core", F.lit(False)))
+    return df.select(id).join(known, id, "left").select(id, F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def majority(df: DataFrame, group: Sequence[str], label: str, empty: int | str = -1) -> DataFrame:

@@ -31,24 +31,28 @@ def points(df: DataFrame, axes: Sequence[str], id: str = "id", prefix: str = "",
     return df.select(F.col(id).alias(f"{prefix}id"), *(F.col(a).cast("double").alias(f"{prefix}{i}") for i, a in enumerate(axes)), *(F.col(e).alias(prefix + e) for e in extra))
 
 
-def _cell_join(q: DataFrame, r: DataFrame, dim: int, reach: Column, edge: Sequence[float], condition: Column, skew: bool = False) -> DataFrame:
-    """Rows of q (q_0...) and r (r_0...) whose cells the box of ``reach`` around q touches, under ``condition``."""
+def _cell_join(q: DataFrame, r: DataFrame, dim: int, reach: Column, edge: Sequence[float | Column], condition: Column, skew: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of q (q_0...) and r (r_0...) whose cells the box of ``reach`` around q touches, under ``condition``; ``by`` are further keys."""
     cells = [f"_c{i}" for i in range(dim)]
     home = r.withColumns({c: F.floor(F.col(f"r_{i}") / edge[i]).cast("bigint") for i, c in enumerate(cells)})
     spread = q
     for i, c in enumerate(cells):
         low, high = F.floor((F.col(f"q_{i}") - reach) / edge[i]).cast("bigint"), F.floor((F.col(f"q_{i}") + reach) / edge[i]).cast("bigint")
         spread = spread.withColumn(c, F.explode(F.sequence(low, high)))
+    return _meet(spread, home, [*by, *cells], condition, "q_id", skew)
+
+
+def _meet(spread: DataFrame, home: DataFrame, keys: list[str], condition: Column, by: str, skew: bool = True) -> DataFrame:
+    """Equi-join on cells; cells of more than ``HOT`` reference rows are met by salts."""
     if skew:
-        hot = home.groupBy(*cells).count().where(F.col("count") > HOT).select(*cells, F.least(F.ceil(F.col("count") / HOT), F.lit(1024)).cast("int").alias("_n"))
+        hot = checkpoint(home.groupBy(*keys).count().where(F.col("count") > HOT).select(*keys, F.ceil(F.col("count") / HOT).cast("int").alias("_n")))
         skew = bool(hot.take(1))
     if skew:
-        hot = checkpoint(hot)
         one = F.coalesce(F.col("_n"), F.lit(1))
-        home = sized_join(home, hot, cells, "left", salt_by="r_id").withColumn("_salt", F.pmod(F.xxhash64("r_id"), one).cast("int")).drop("_n")
-        spread = sized_join(spread, hot, cells, "left", salt_by="q_id").withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
-        return spread.join(home, [*cells, "_salt"]).where(condition).drop(*cells, "_salt")
-    return spread.join(home, cells).where(condition).drop(*cells)
+        home = sized_join(home, hot, keys, "left", salt_by="r_id").withColumn("_salt", F.pmod(F.xxhash64("r_id"), one).cast("int")).drop("_n")
+        spread = sized_join(spread, hot, keys, "left", salt_by=by).withColumn("_salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("_n")
+        return spread.join(home, [*keys, "_salt"]).where(condition).drop(*keys, "_salt")
+    return spread.join(home, keys).where(condition).drop(*keys)
 
 
 def _square(dim: int) -> Column:
@@ -63,19 +67,20 @@ def ball(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | st
     Columns in ``carry`` come out of both sides as q_... and r_....
     """
     dim = len(axes)
+    refs = points(refs, axes, ref_id or id, "r_", carry)
+    out = ["q_id", "r_id", _square(dim).alias("sd"), *(f"{side}_{c}" for c in carry for side in "qr")]
     if isinstance(r, str):
+        # Cells fit the radius of each query to a power of two; the reference rows are repeated for the powers that occur.
         q = points(queries, axes, id, "q_", [r, *(c for c in carry if c != r)]).where(F.col("q_" + r) >= 0)
-        radius: Column = F.col("q_" + r)
-        if edge is None:
-            top = q.agg(F.percentile_approx("q_" + r, 0.5).alias("m")).first()["m"]
-            edge = 2 * top if top else 1.0
-    else:
-        if r < 0:
-            raise ValueError("negative radius")
-        q, radius = points(queries, axes, id, "q_", carry), F.lit(float(r))
-        edge = edge or (2 * r if r > 0 else 1.0)
-    pairs = _cell_join(q, points(refs, axes, ref_id or id, "r_", carry), dim, radius, [edge] * dim, _square(dim) <= radius * radius, skew)
-    return pairs.select("q_id", "r_id", _square(dim).alias("sd"), *(f"{side}_{c}" for c in carry for side in "qr"))
+        q = q.withColumn("_size", F.when(F.col("q_" + r) > 2.0**-40, F.ceil(F.log2("q_" + r))).otherwise(F.lit(-40)).cast("int"))
+        sizes = sorted(row["_size"] for row in q.select("_size").distinct().collect())
+        home = refs.withColumn("_size", F.explode(F.array(*(F.lit(v) for v in sizes)).cast("array<int>")))
+        width = F.pow(F.lit(2.0), F.col("_size") + 1)
+        return _cell_join(q, home, dim, F.col("q_" + r), [width] * dim, _square(dim) <= F.col("q_" + r) * F.col("q_" + r), skew, ["_size"]).select(*out)
+    if r < 0:
+        raise ValueError("negative radius")
+    edge = edge or (2 * r if r > 0 else 1.0)
+    return _cell_join(points(queries, axes, id, "q_", carry), refs, dim, F.lit(float(r)), [edge] * dim, _square(dim) <= float(r) * float(r), skew).select(*out)
 
 
 def ball_count(queries: DataFrame, refs: DataFrame, axes: Sequence[str], r: float | str, id: str = "id", ref_id: str | None = None) -> DataFrame:
@@ -125,7 +130,7 @@ def boxes(df: DataFrame, extents: DataFrame, axes: Sequence[str], edge: float, i
     for i, c in enumerate(cells):
         spread = spread.withColumn(c, F.explode(F.sequence(F.floor(F.col(f"low_{i}") / edge).cast("bigint"), F.floor(F.col(f"high_{i}") / edge).cast("bigint"))))
         test = test & F.col(f"r_{i}").between(F.col(f"low_{i}"), F.col(f"high_{i}"))
-    return spread.join(home, cells).where(test).select("box_id", F.col("r_id").alias(id))
+    return _meet(spread, home, cells, test, "box_id").select("box_id", F.col("r_id").alias(id))
 
 
 def slice_axis(df: DataFrame, axis: str, low: float = float("-inf"), high: float = float("inf")) -> DataFrame:
@@ -161,14 +166,10 @@ def knn(
     whole = sum((h - lo) ** 2 for lo, h in zip(low, high)) ** 0.5 * 1.0001 + 1e-9
     limit = min(whole, within) if within is not None else whole
     count = r.count()
-    wide = [max(h - lo, 1e-9) for lo, h in zip(stats[1].low, stats[1].high)]
     number = q.agg(F.max(most).alias("m")).first()["m"] or 1
     r = _thin_positions(r, dim, number + 1)
     if start is None:
-        volume = 1.0
-        for w in wide:
-            volume *= w
-        start = (volume * (number + 1) / count) ** (1 / dim)
+        start = _usual_distance(r, dim, number + 1, count)
     radius = min(max(start, limit * 1e-6), limit)
     done: DataFrame | None = None
     open_q = q
@@ -195,6 +196,24 @@ def knn(
         radius = min(2 * radius, limit)
 
 
+def _usual_distance(r: DataFrame, dim: int, k: int, count: int) -> float:
+    """A radius that holds about k rows where rows are, from the cells that are occupied.
+
+    The middle nine tenths of each axis give a first edge, so that strays do not
+    count; of edges around it the smallest is taken whose occupied cells hold,
+    besides one, about a third of k rows. Two aggregates.
+    """
+    share = [0.05, 0.95]
+    row = r.agg(*(F.percentile_approx(f"r_{i}", share, 1000).alias(f"p{i}") for i in range(dim))).first()
+    volume = 1.0
+    for i in range(dim):
+        volume *= max(row[f"p{i}"][1] - row[f"p{i}"][0], 1e-9)
+    edge = (volume * k / count) ** (1 / dim)
+    edges = [edge * 2.0**j for j in range(-8, 4)]
+    cells = r.agg(*(F.approx_count_distinct(F.xxhash64(*(F.floor(F.col(f"r_{i}") / e) for i in range(dim)))).alias(f"c{j}") for j, e in enumerate(edges))).first()
+    return next((e for j, e in enumerate(edges) if 3 * (count - cells[f"c{j}"]) >= k * cells[f"c{j}"]), edges[-1])
+
+
 def _thin_positions(r: DataFrame, dim: int, keep: int) -> DataFrame:
     """The rows that can be among the nearest: of a crowded position, the ``keep`` smallest ids.
 

@@ -128,3 +128,28 @@ def test_ball_equals_theta(frame, points, r):
     alone = {q["id"] for q in filters.is_isolated(df, AXES, r).collect()}
     near = {q["id"] for q in filters.has_neighbour(df, AXES, r).collect()}
     assert alone | near == set(range(len(points))) and not alone & near
+
+
+def test_radii_of_all_sizes(spark, monkeypatch):
+    """Radii from 0 to 300, one of them far beyond the others, and crowded cells."""
+    monkeypatch.setattr(joins, "HOT", 20)
+    rng = np.random.default_rng(6)
+    at = rng.random((200, 2)) * 40
+    r = np.where(np.arange(200) % 5, rng.random(200) * 3, 0.0)
+    r[7] = 300.0
+    df = spark.createDataFrame([(i, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(at, r))], "id bigint, x double, y double, r double")
+    got = {(p.q_id, p.r_id) for p in joins.ball(df, df, ["x", "y"], "r").collect()}
+    sd = ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    assert got == {(i, j) for i, j in zip(*np.nonzero(sd <= (r * r)[:, None]))}
+    assert joins.ball(df.where("id < 0"), df, ["x", "y"], "r").count() == 0
+
+
+def test_nearest_with_a_stray(spark):
+    """One row far away changes neither results nor the first radius much."""
+    at = np.concatenate([np.random.default_rng(1).random((300, 2)) * 10, [[1e6, 1e6]]])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id bigint, x double, y double")
+    rows = joins.points(df, ["x", "y"], "id", "r_")
+    assert joins._usual_distance(rows, 2, 4, 301) < 3
+    sd = ((at[:, None] - at[None]) ** 2).sum(axis=2)
+    want = {(i, int(j)) for i in range(301) for j in np.lexsort((np.arange(301), sd[i]))[:3]}
+    assert {(p.q_id, p.r_id) for p in joins.knn(df, df, ["x", "y"], 3).collect()} == want

@@ -117,7 +117,10 @@ def group_vectors(df: DataFrame, group: Sequence[str], axes: Sequence[Column], c
 
 def _neighbourhoods(df: DataFrame, axes: Sequence[str], r: float, k: int | None, id: str) -> DataFrame:
     """Pairs with the neighbour's position relative to the row's own (which keeps the moments small)."""
-    pairs = joins.ball(df, df, axes, r, id) if k is None else joins.knn(df, df, axes, k, id, within=r if np.isfinite(r) else None)
+    if k is None:
+        near = joins.ball(df, df, axes, r, id, carry=axes)
+        return near.select("q_id", "r_id", *((F.col(f"r_{a}") - F.col(f"q_{a}")).alias(f"d{i}") for i, a in enumerate(axes)))
+    pairs = joins.knn(df, df, axes, k, id, within=r if np.isfinite(r) else None)
     own = df.select(F.col(id).alias("q_id"), *(F.col(a).alias(f"_a{i}") for i, a in enumerate(axes)))
     other = df.select(F.col(id).alias("r_id"), *(F.col(a).alias(f"_b{i}") for i, a in enumerate(axes)))
     met = pairs.select("q_id", "r_id").join(own, "q_id").join(other, "r_id")

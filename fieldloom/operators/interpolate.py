@@ -128,3 +128,29 @@ def surface(refs: DataFrame, axes: Sequence[str], k: int | None = None):  # noqa
         return df.join(got.select(F.col("q_id").alias("id"), F.col("value").alias(out)), "id", "left")
 
     return height
+
+
+class Interpolator:
+    """One interface to all kinds: fitted to reference rows, called with query rows, gives (q_id, value).
+
+    ``kind`` is knn (k, max_dist), polynomial (degree, weight, interaction_only)
+    or linear (tile); options go to the function of that kind.
+    """
+
+    def __init__(self, kind: str, refs: DataFrame, axes: Sequence[str], value: str, id: str = "id", **options: object) -> None:
+        if kind not in ("knn", "polynomial", "linear"):
+            raise ValueError(f"no interpolation of kind {kind}")
+        self.kind, self.refs, self.axes, self.value, self.id, self.options = kind, refs, list(axes), value, id, options
+        self.fit = fit_polynomial(refs, self.axes, value, **options) if kind == "polynomial" else None
+
+    @property
+    def dim(self) -> int:
+        return len(self.axes)
+
+    def __call__(self, queries: DataFrame) -> DataFrame:
+        """Values at the queries' axes; queries of missing coordinates have none."""
+        if self.kind == "polynomial":
+            return queries.select(F.col(self.id).alias("q_id"), self.fit(*self.axes).alias("value"))
+        if self.kind == "knn":
+            return knn_interpolate(queries, self.refs, self.axes, self.value, id=self.id, **self.options)
+        return linear_interpolate(queries, self.refs, self.axes, [self.value], id=self.id, **self.options).select("q_id", F.col(self.value).alias("value"))

@@ -133,3 +133,48 @@ def save(df: DataFrame, kind: str, path: str, **options: object) -> None:
     for key, value in options.items():
         writer = writer.option(key, str(value))
     writer.save(path)
+
+
+class GeoFile:
+    """A file known by its header, of which the rows, or those in an extent, are loaded when asked for.
+
+    The suffix tells the format: las, ply, tif or tiff.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        from fieldloom.sources import las, ply, tiff  # noqa: PLC0415
+
+        self.spark, self.path = spark, path
+        suffix = path.rpartition(".")[2].lower()
+        kinds = {"las": (las.read_header, las.load_las), "ply": (ply.read_header, ply.load_ply), "tif": (tiff.read_header, tiff.load_raster), "tiff": (tiff.read_header, tiff.load_raster)}
+        if suffix not in kinds:
+            raise ValueError(f"no format for .{suffix}")
+        head, self._load = kinds[suffix]
+        self.raster = suffix.startswith("tif")
+        self.header = head(path.removeprefix("file://"))
+        self._rows: DataFrame | None = None
+
+    def __len__(self) -> int:
+        return len(self.header)
+
+    @property
+    def extent(self) -> Extent | None:
+        return self.header.extent
+
+    @property
+    def crs(self) -> str | None:
+        return self.header.crs
+
+    def load(self, extent: Extent | None = None) -> DataFrame:
+        """Rows of the file; of an extent, those within it (closed), with filters that the reader may take."""
+        if self._rows is None:
+            self._rows = self._load(self.spark, self.path)
+        if self.raster:
+            return (self._rows if extent is None else self._rows.window(extent)).df
+        return self._rows if extent is None else self._rows.where(extent.contains(["x", "y", "z"][: extent.dim]))
+
+    def clean_cache(self) -> None:
+        """Forget the rows; the next load reads the header's file again."""
+        if self._rows is not None and not self.raster:
+            self._rows.unpersist()
+        self._rows = None

@@ -121,3 +121,18 @@ def test_icp(frame):
     assert pairs.count() > 60 and history[-1] < history[0]
     with pytest.raises(ValueError):
         register.icp({}, AXES, [1.0])
+
+
+def test_interpolators(frame):
+    """All kinds reproduce a plane at points between its own, through one interface."""
+    from fieldloom.operators.interpolate import Interpolator  # noqa: PLC0415
+
+    at = [(float(i % 6), float(i // 6)) for i in range(36)]
+    refs = frame(at, v=[1.0 + x + 2 * y for x, y in at])
+    asked = frame([(1.5, 2.5), (3.25, 0.75)])
+    for kind, options, off in (("polynomial", {"degree": 2}, 1e-6), ("linear", {"tile": 50.0}, 1e-6), ("knn", {"k": 4}, 0.6)):
+        made = Interpolator(kind, refs, ["x", "y"], "v", **options)
+        got = {r.q_id: r.value for r in made(asked).collect()}
+        assert made.dim == 2 and abs(got[0] - 7.5) <= off and abs(got[1] - 5.75) <= off, kind
+    with pytest.raises(ValueError):
+        Interpolator("spline", refs, ["x", "y"], "v")

@@ -10,6 +10,7 @@ from fieldloom.functions import affine
 from fieldloom.operators.frame import Extent
 from fieldloom.operators.grid import Grid
 from fieldloom.sources import las, ply, text, tiff
+from fieldloom.sources.base import GeoFile
 from fieldloom.streaming.voxels import voxel_windows
 
 
@@ -86,3 +87,17 @@ def test_stream(spark, tmp_path):
     run.stop()
     got = {(r.key_0, r.key_1): r.n for r in spark.table("voxels").collect()}
     assert got == {(0, 0): 2, (2, 2): 1}
+
+
+def test_geofile(spark, tmp_path):
+    rows = text.random_records(spark, 200, (100.0, 200.0, 10.0)).df.select("x", "y", "z", "intensity", "classification")
+    path = str(tmp_path / "a.las")
+    las.write_las(rows, path, crs="EPSG:25832")
+    file = GeoFile(spark, path)
+    box = Extent((100.0, 200.0), (105.0, 205.0))
+    assert len(file) == 200 and file.crs == "EPSG:25832" and file.load().count() == 200
+    assert file.load(box).count() == rows.where("x <= 105 and y <= 205").count() and 0 < file.load(box).count() < 200
+    file.clean_cache()
+    assert file.load().count() == 200
+    with pytest.raises(ValueError):
+        GeoFile(spark, "a.xyz")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 
@@ -15,10 +16,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from fieldloom.functions import affine
 from fieldloom.operators.frame import Extent
 from fieldloom.operators.grid import Grid
-from fieldloom.sources.base import Header, OneFileWriter, RangeReader, register, save
+from fieldloom.sources.base import Header, OneFileWriter, Range, RangeReader, register, save
 
 # Sizes and struct codes of tag types, and numpy types by (format, bits).
 _KINDS = {1: (1, "B"), 2: (1, "s"), 3: (2, "H"), 4: (4, "I"), 5: (8, "II"), 11: (4, "f"), 12: (8, "d"), 16: (8, "Q")}
+#: Compression codes of zlib streams.
+DEFLATE = (8, 32946)
 _DTYPES = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 8): "i1", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 SCHEMA = "key_0 int, key_1 int, bands array<double>"
 
@@ -43,10 +46,10 @@ def read_header(path: str) -> Header:
                 raw = file.read(size * count)
             tags[tag] = [raw[:count].rstrip(b"\0").decode("ascii", "replace")] if kind == 2 else list(struct.unpack(order + code * count, raw[: size * count]))
     one = lambda tag, default: tags.get(tag, [default])[0]
-    if one(259, 1) != 1:
-        raise ValueError("compressed rasters are not supported")
-    if 273 not in tags:
-        raise ValueError("tiled rasters are not supported")
+    if one(259, 1) not in (1, *DEFLATE):
+        raise ValueError(f"compression {one(259, 1)} is not supported")
+    if one(317, 1) not in (1, 2):
+        raise ValueError(f"predictor {one(317, 1)} is not supported")
     width, height, bands = one(256, 0), one(257, 0), one(277, 1)
     dtype = _DTYPES.get((one(339, 1), one(258, 1)))
     if dtype is None:
@@ -69,12 +72,51 @@ def read_header(path: str) -> Header:
         except ValueError:
             date = None
     corners = affine.transform_to_corners(t, (height, width))
-    more = {"width": width, "bands": bands, "dtype": order + dtype, "strips": tags[273], "per": one(278, height), "planar": one(284, 1) == 2}
+    more = {"width": width, "bands": bands, "dtype": order + dtype, "planar": one(284, 1) == 2, "packed": one(259, 1) != 1, "predictor": one(317, 1)}
+    if 324 in tags:
+        more |= {"strips": tags[324], "sizes": tags.get(325, []), "per": one(323, height), "wide": one(322, width), "tiled": True}
+    else:
+        more |= {"strips": tags[273], "sizes": tags.get(279, []), "per": min(one(278, height), height), "wide": width, "tiled": False}
     return Header(path, height, t, Extent(tuple(corners.min(axis=0)), tuple(corners.max(axis=0))), f"EPSG:{code}" if code else None, date, more)
 
 
+def _cells(row: int, cells: np.ndarray) -> pa.RecordBatch:
+    width, bands = cells.shape
+    offsets = pa.array(np.arange(0, (width + 1) * bands, bands, dtype=np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(width, row, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(cells.astype(float).ravel()))], names=["key_0", "key_1", "bands"])
+
+
+def _blocks(header: Header, start: int, end: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a tiled or compressed raster: the blocks of a band of rows are read and put side by side."""
+    m = header.more
+    dtype, bands, tall, wide = np.dtype(m["dtype"]), m["bands"], m["per"], m["wide"]
+    across, down = -(-m["width"] // wide), -(-header.count // tall)
+    planes, deep = (bands, 1) if m["planar"] else (1, bands)
+    with open(header.path, "rb") as file:
+        for band in range(start // tall, (end - 1) // tall + 1):
+            # The last strip ends with the raster; tiles are always whole.
+            lines = tall if m["tiled"] else min(tall, header.count - band * tall)
+            whole = np.empty((lines, across * wide, bands))
+            for plane in range(planes):
+                for column in range(across):
+                    at = (plane * down + band) * across + column
+                    file.seek(m["strips"][at])
+                    raw = file.read(m["sizes"][at] if at < len(m["sizes"]) else lines * wide * deep * dtype.itemsize)
+                    if m["packed"]:
+                        raw = zlib.decompress(raw)
+                    block = np.frombuffer(raw[: lines * wide * deep * dtype.itemsize], dtype).reshape(lines, wide, deep)
+                    if m["predictor"] == 2:  # differences along the row, which wrap around
+                        block = np.cumsum(block, axis=1, dtype=dtype.newbyteorder("="))
+                    whole[:, column * wide:(column + 1) * wide, plane:plane + deep] = block
+            for row in range(max(start, band * tall), min(end, band * tall + lines)):
+                yield _cells(row, whole[row - band * tall, : m["width"]])
+
+
 def _rows(header: Header, start: int, end: int) -> Iterator[pa.RecordBatch]:
     m = header.more
+    if m["tiled"] or m["packed"] or m["predictor"] == 2:
+        yield from _blocks(header, start, end)
+        return
     width, bands, dtype = m["width"], m["bands"], np.dtype(m["dtype"])
     per_plane = -(-header.count // m["per"])
     with open(header.path, "rb") as file:
@@ -88,8 +130,19 @@ def _rows(header: Header, start: int, end: int) -> Iterator[pa.RecordBatch]:
             else:
                 file.seek(m["strips"][strip] + line * width * bands * dtype.itemsize)
                 cells = np.frombuffer(file.read(width * bands * dtype.itemsize), dtype).reshape(width, bands).astype(float)
-            offsets = pa.array(np.arange(0, (width + 1) * bands, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, row, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.ListArray.from_arrays(offsets, pa.array(cells.ravel()))], names=["key_0", "key_1", "bands"])
+            yield _cells(row, cells)
+
+
+class RowReader(RangeReader):
+    """Row ranges of cells, of which only those from ``low`` to ``high`` are read."""
+
+    def __init__(self, path: str, low: int, high: int) -> None:
+        super().__init__(path, read_header, _rows, step=512)
+        self.low, self.high = low, high
+
+    def partitions(self) -> list[Range]:
+        cut = [Range(p.path, max(p.start, self.low), min(p.end, self.high)) for p in super().partitions()]
+        return [p for p in cut if p.start < p.end] or [Range(self.path, 0, 0)]
 
 
 class TiffSource(DataSource):
@@ -103,7 +156,7 @@ class TiffSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        return RangeReader(self.options["path"], read_header, _rows, step=512)
+        return RowReader(self.options["path"], int(self.options.get("low") or 0), int(self.options.get("high") or 1 << 31))
 
     def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
         o = self.options
@@ -149,7 +202,12 @@ class TiffSource(DataSource):
 def load_raster(spark: SparkSession, path: str, extent: Extent | None = None) -> Grid:
     """A raster as a grid with a ``bands`` array per cell, or the part of it that an extent covers."""
     head = read_header(path)
-    grid = Grid(register(spark).read.format("geotiff").load(path), head.t, (head.count, head.more["width"]), head.crs)
+    low, high = 0, head.count
+    if extent is not None:
+        keys = affine.grid_keys(head.t, extent.corners)[:, 0]
+        low, high = max(0, int(keys.min())), max(0, int(keys.max()))
+    rows = register(spark).read.format("geotiff").option("low", low).option("high", high).load(path)
+    grid = Grid(rows, head.t, (head.count, head.more["width"]), head.crs)
     return grid if extent is None else grid.window(extent)
 
 

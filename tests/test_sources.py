@@ -1,5 +1,7 @@
 """Round trips of the file formats, and the stream."""
 
+import struct
+import zlib
 from datetime import datetime
 
 import numpy as np
@@ -101,3 +103,46 @@ def test_geofile(spark, tmp_path):
     assert file.load().count() == 200
     with pytest.raises(ValueError):
         GeoFile(spark, "a.xyz")
+
+
+def tiff_bytes(cells, tile, packed, predictor):
+    """A raster of 16-bit numbers in square tiles (or strips, without ``tile``), by hand."""
+    height, width, bands = cells.shape
+    tall, wide = (tile, tile) if tile else (5, width)
+    blocks = []
+    for i in range(0, height, tall):
+        for j in range(0, width, wide):
+            block = np.zeros((tall if tile else min(tall, height - i), wide, bands), "<u2")
+            part = cells[i:i + tall, j:j + wide]
+            block[: part.shape[0], : part.shape[1]] = part
+            if predictor == 2:
+                block[:, 1:] = block[:, 1:] - block[:, :-1]
+            blocks.append(zlib.compress(block.tobytes()) if packed else block.tobytes())
+    places = np.cumsum([8] + [len(b) for b in blocks]).tolist()
+    tags = [(256, 3, [width]), (257, 3, [height]), (258, 3, [16] * bands), (259, 3, [8 if packed else 1]), (277, 3, [bands]), (317, 3, [predictor]), (339, 3, [1] * bands)]
+    tags += [(322, 3, [tile]), (323, 3, [tile]), (324, 4, places[:-1]), (325, 4, [len(b) for b in blocks])] if tile else [(273, 4, places[:-1]), (278, 3, [tall]), (279, 4, [len(b) for b in blocks])]
+    tags += [(33550, 12, [2.0, 2.0, 0.0]), (33922, 12, [0.0, 0.0, 0.0, 100.0, 200.0, 0.0])]
+    code = {3: "H", 4: "I", 12: "d"}
+    at, out, tail = places[-1] + 2 + 12 * len(tags) + 4, [struct.pack("<H", len(tags))], []
+    for tag, kind, values in sorted(tags):
+        raw = struct.pack("<" + code[kind] * len(values), *values)
+        out.append(struct.pack("<HHI", tag, kind, len(values)) + (raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", at + sum(map(len, tail)))))
+        if len(raw) > 4:
+            tail.append(raw)
+    return struct.pack("<2sHI", b"II", 42, places[-1]) + b"".join([*blocks, *out, b"\0\0\0\0", *tail])
+
+
+@pytest.mark.parametrize(("tile", "packed", "predictor"), [(16, True, 2), (16, False, 1), (0, True, 1), (0, True, 2), (0, False, 1)])
+def test_raster_layouts(spark, tmp_path, tile, packed, predictor):
+    """Tiles and strips, deflated or not, with and without differences, whole and by extent."""
+    cells = np.random.default_rng(1).integers(0, 65536, (37, 21, 2))
+    path = tmp_path / "a.tif"
+    path.write_bytes(tiff_bytes(cells, tile, packed, predictor))
+    got = {(r.key_0, r.key_1): r.bands for r in tiff.load_raster(spark, str(path)).df.collect()}
+    assert len(got) == 37 * 21 and all(got[i, j] == cells[i, j].tolist() for i, j in got)
+    part = tiff.load_raster(spark, str(path), Extent((104.5, 150.5), (120.5, 180.5)))
+    i0, j0 = part.t[1, 2], part.t[0, 2]
+    rows = part.df.collect()
+    assert len(rows) == part.shape[0] * part.shape[1] > 0
+    for r in rows:
+        assert r.bands == cells[int((200 - i0) / 2) + r.key_0, int((j0 - 100) / 2) + r.key_1].tolist()

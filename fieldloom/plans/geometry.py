@@ -266,3 +266,39 @@ def terrain_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smooth_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows moved to the largest coordinates within the radius."""
     return estimate.mean_ball(ev2(spark, sf_dir), AXES, 1.0, f=F.max).select("id", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
+
+
+@query(f"WITH {PT2} SELECT id, round(x + 2 * y, 6) AS height FROM pt2 QUALIFY count(*) OVER (PARTITION BY x, y) = 1")
+def surface_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A surface over the parts gives its own heights at its points (those of one part)."""
+    p = pt2(spark, sf_dir).withColumn("z", F.col("x") + 2 * F.col("y"))
+    alone = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    asked = p.join(alone, ["x", "y"]).select("id", "x", "y")
+    return interpolate.surface(p.select("id", "x", "y", "z"), V3)(asked, "x", "y", "height").select("id", F.round("height", 6).alias("height"))
+
+
+@query(f"WITH {PT2} SELECT count(*) AS n, 0 AS unknown, 0 AS alone FROM pt2")
+def weight_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels by shared weights are ids of parts, and a part whose label is another's has a part of that label within the radius."""
+    p = pt2(spark, sf_dir)
+    got = cluster.weight_clusters(p, AXES, 1.0, p.select("id", F.col("id").alias("label"))).join(p.select("id", *AXES), "id")
+    near = joins.ball(got, got, AXES, 1.0, carry=["label"]).where("q_id <> r_id and (q_label = r_label or q_label = r_id)").select(F.col("q_id").alias("id")).distinct()
+    unknown = got.join(p.select(F.col("id").alias("label")), "label", "left_anti").count()
+    return got.where("label <> id").join(near, "id", "left_anti").agg(F.count(F.lit(1)).alias("alone")).select(F.lit(p.count()).alias("n"), F.lit(unknown).alias("unknown"), "alone")
+
+
+@query("SELECT count(*) AS n, 0 AS negative FROM (SELECT DISTINCT site_id, classification FROM forestscan WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND classification IS NOT NULL)")
+def cylinder_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fit for every site and class, none of negative radius or residual."""
+    got = estimate.fit_cylinders(fs3(spark, sf_dir).where("classification is not null"), V3, ["site_id", "classification"], (0.0, 0.0, 1.0))
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("radius") < 0) | (F.col("residual") < 0)).alias("negative"))
+
+
+@query("SELECT * FROM (VALUES ('a', 0.0, 0.0), ('b', -0.3, 0.2)) t(name, tx, ty)")
+def icp_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Iterative closest points on the plain axes: a shifted copy of separate points comes back."""
+    base = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 40 * 10.0).alias("x"), (F.floor(F.col("s_suppkey") / 40) * 10.0 + F.col("s_suppkey") % 7).alias("y"))
+    moved = base.withColumns({"x": F.col("x") + 0.3, "y": F.col("y") - 0.2})
+    found, _, _ = register.icp({"a": base, "b": moved}, AXES, [2.0, 2.0], max_iter=8)
+    rows = [(n, round(float(T[0, 2]), 3) + 0.0, round(float(T[1, 2]), 3) + 0.0) for n, T in found.items()]
+    return spark.createDataFrame(rows, "name string, tx double, ty double")

@@ -4,10 +4,10 @@ What documents of one language repeat at their edges (menus, notices, footers)
 is counted over all documents and taken off first. The rest of a text is turned
 into distributions: kinds of words, classes of characters, letters, runs of
 words that are new, ranks of words, lengths of lines, ends of lines, and columns.
-Profiles of the same distributions are fitted to a bounded sample of the
-documents: they start from the shares below, and sample texts move the profile
-they are nearest to. A text gets the kind of the profile that it is nearest to
-by the sum of the Jensen-Shannon divergences. Every text is read whole.
+Profiles of the same distributions are fitted to all documents: they start from
+the shares below, and texts move the profile they are nearest to. A text gets
+the kind of the profile that it is nearest to by the sum of the Jensen-Shannon
+divergences. Every text is read whole.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.session import checkpoint
+from fieldloom.session import checkpoint, drop_checkpoint
 
 WORD = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)*")
 LINES = re.compile(r"[\n\r\x85\u2028]+")
@@ -32,10 +33,12 @@ SENTENCE = re.compile(r"[.!?…:;,][\"”»’')]*\s*$")
 CP1252 = frozenset("€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ")
 COLUMN_MARKS = ("\t", "|", ";", " / ", ",", "  ")
 
-#: Documents that the profiles, and the common words of languages without a list, are fitted to, on average.
-FIT = 3000
 #: Rounds of moving the profiles.
 ROUNDS = 4
+#: Sums of shares are kept in whole parts of this size, so that they do not depend on the order of the documents.
+PART = 2.0**-40
+#: Rows of shares that are compared with the profiles at once.
+ROWS = 256
 #: Lines at the top and the bottom of a text that count as its edges, and the share of a language's documents that repeat boilerplate.
 TOP, BOTTOM = 14, 2
 REPEATED = 0.06
@@ -136,30 +139,37 @@ class Profiles:
         self._half = _entropy(table) / 2
 
     def distances(self, seen: np.ndarray) -> np.ndarray:
-        """Summed divergence of one row of shares to every profile; blocks that the row leaves empty do not count."""
-        p = _normed(seen)[0]
-        known = np.concatenate([np.full(b - a, p[a:b].sum() > 0) for a, b in SPAN.values()])
-        gain = _entropy((self.table + p) / 2) - self._half - _entropy(p) / 2
-        return (gain * (WEIGHT * known)).sum(axis=1)
-
-    def nearest(self, seen: np.ndarray) -> int:
-        return int(np.argmin(self.distances(seen)))
-
-    def fitted(self, sample: np.ndarray, rounds: int = ROUNDS, least: int = 5) -> Profiles:
-        """Profiles moved to the mean of the sample rows nearest to them, round by round; those with fewer than ``least`` rows stay."""
+        """Summed divergence of a row of shares, or of each of several, to every profile; blocks that a row leaves empty do not count."""
+        p = _normed(seen)
+        known = np.concatenate([np.repeat(p[:, a:b].sum(axis=1, keepdims=True) > 0, b - a, axis=1) for a, b in SPAN.values()], axis=1)
+        out = np.empty((len(p), len(self.table)))
+        for i in range(0, len(p), ROWS):
+            q, counted = p[i:i + ROWS, None], (WEIGHT * known[i:i + ROWS])[:, None]
+            gain = _entropy((self.table + q) / 2) - self._half - _entropy(q) / 2
+            out[i:i + ROWS] = (gain * counted).sum(axis=2)
+        return out if np.ndim(seen) == 2 else out[0]
+
+    def tally(self, seen: np.ndarray) -> np.ndarray:
+        """For every profile, over the rows nearest to it: sums of shares in ``PART``, rows that fill each block, and rows."""
+        p, at = _normed(seen), self.distances(seen).argmin(axis=1)
+        filled = np.stack([p[:, a:b].sum(axis=1) > 0 for a, b in SPAN.values()], axis=1)
+        cells = np.concatenate([np.rint(p / PART).astype(np.int64), filled, np.ones((len(p), 1), np.int64)], axis=1)
+        return np.stack([cells[at == i].sum(axis=0) for i in range(len(self.table))])
+
+    def moved(self, tallied: np.ndarray, least: int = 5) -> Profiles:
+        """Profiles at the mean of the tallied rows; those with fewer than ``least`` rows stay."""
+        table = self.table.copy()
+        for i, row in enumerate(tallied):
+            for j, (a, b) in enumerate(SPAN.values()):
+                if row[-1] >= least and row[WIDTH + j]:
+                    table[i, a:b] = row[a:b].astype(float) * (PART / float(row[WIDTH + j]))
+        return Profiles(self.common, self.boilerplate, _normed(table), self.names)
+
+    def fitted(self, rows: np.ndarray, rounds: int = ROUNDS) -> Profiles:
+        """Profiles moved to the mean of the rows nearest to them, round by round."""
         now = self
-        sample = _normed(sample) if len(sample) else np.zeros((0, WIDTH))
         for _ in range(rounds):
-            at = np.array([now.nearest(row) for row in sample], int)
-            table = now.table.copy()
-            for i in range(len(table)):
-                mine = sample[at == i]
-                if len(mine) >= least:
-                    for a, b in SPAN.values():
-                        part = mine[:, a:b][mine[:, a:b].sum(axis=1) > 0]
-                        if len(part):
-                            table[i, a:b] = part.mean(axis=0)
-            now = Profiles(self.common, self.boilerplate, _normed(table), self.names)
+            now = now.moved(now.tally(np.asarray(rows).reshape(-1, WIDTH)))
         return now
 
     def language(self, words: list[str]) -> tuple[str, float]:
@@ -313,16 +323,28 @@ def features(lines: list[str], profiles: Profiles) -> dict:
     return {"shares": out, "words": words, "language": language, "common": common, "classes": counts, "body": body, "lines": lines, "ended": ended, "runs": runs, "columns": number}
 
 
-def describe(text: str, profiles: Profiles, host: str | None = None) -> dict:
-    """Features of one text, its distance to the nearest profile of each kind, and its kind."""
+def read_text(text: str, profiles: Profiles, host: str | None = None) -> dict:
+    """Features of one text, and whether nothing of it is left."""
     lines = split_lines(text)
     kept = main_lines(lines, host, profiles.boilerplate)
     got = features(kept or lines, profiles)
-    away = profiles.distances(got["shares"])
-    far = {kind: min(d for (k, _), d in zip(profiles.names, away) if k == kind) for kind in ("prose", "list", "table", "junk")}
+    return got | {"empty": not got["body"].strip() or not kept}
+
+
+KINDS = ("prose", "list", "table", "junk")
+
+
+def kind_of(away: np.ndarray, empty: bool, profiles: Profiles) -> dict:
+    """Distance to the nearest profile of each kind, and the kind, from the distances of one text to every profile."""
+    far = {kind: min(d for (k, _), d in zip(profiles.names, away) if k == kind) for kind in KINDS}
     at = int(np.argmin(away))
-    empty = not got["body"].strip() or not kept
-    return got | {"kind": "empty" if empty else profiles.names[at][0], "profile": None if empty else profiles.names[at][1], "far": far}
+    return {"kind": "empty" if empty else profiles.names[at][0], "profile": None if empty else profiles.names[at][1], "far": far}
+
+
+def describe(text: str, profiles: Profiles, host: str | None = None) -> dict:
+    """Features of one text, its distance to the nearest profile of each kind, and its kind."""
+    got = read_text(text, profiles, host)
+    return got | kind_of(profiles.distances(got["shares"]), got["empty"], profiles)
 
 
 COMMON_BOUND = 100_000
@@ -378,70 +400,135 @@ def boilerplate_units(documents: DataFrame, share: float = REPEATED, least: int
     return sorted(r["unit"] for r in often.select("unit").distinct().collect())
 
 
-def _sampled(documents: DataFrame, size: int) -> DataFrame:
-    """About ``size`` documents by a hash of their id, the same on every run; at most twice as many."""
-    rows = documents.count()
-    share = min(1.0, size / max(rows, 1))
-    return documents.where("text is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(2 * size)
+def learned_common(documents: DataFrame, boilerplate: frozenset[str], known: set[str], share: float = COMMON, least: int = LEAST) -> dict[str, set[str]]:
+    """Words that at least ``share`` of a language's documents hold, counted over all documents, for languages that are not ``known``.
 
+    No more words than a document holds on average times 1 / ``share`` can
+    reach it, in each language.
+    """
 
-def learned_common(sample: DataFrame, boilerplate: frozenset[str], known: set[str], share: float = COMMON, least: int = LEAST) -> dict[str, set[str]]:
-    """Words that at least ``share`` of the sample's documents of a language hold, for languages that are not ``known``."""
+    def tongues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"tongue": _tongue(batch["lang"]), "n": batch["n"]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["tongue", "word", "n"])
+            counts.clear()
+            return frame
+
         for batch in batches:
-            rows = []
             for text, tongue, host in zip(batch["text"], _tongue(batch["lang"]), batch["host"]):
-                if not tongue or tongue in known:
-                    continue
-                kept = main_lines(split_lines(text), host if isinstance(host, str) else None, boilerplate)
-                rows += [(tongue, w) for w in {w.lower() for ln in kept for w in WORD.findall(ln)}] + [(tongue, "")]
-            yield pd.DataFrame(rows, columns=["tongue", "word"])
-
-    counted = sample.select("text", F.col("lang").cast("string").alias("lang"), F.col("host").cast("string").alias("host")).mapInPandas(run, "tongue string, word string").groupBy("tongue", "word").agg(F.count(F.lit(1)).alias("n"))
-    counted = checkpoint(counted)
-    often = counted.where("word <> ''").join(F.broadcast(counted.where((F.col("word") == "") & (F.col("n") >= least)).select("tongue", F.col("n").alias("of"))), "tongue")
-    out: dict[str, set[str]] = {}
-    for row in often.where(F.col("n") >= share * F.col("of")).collect():
-        out.setdefault(row["tongue"], set()).add(row["word"])
-    return out
-
+                if tongue in of:
+                    kept = main_lines(split_lines(text), host if isinstance(host, str) else None, boilerplate)
+                    counts.update((tongue, w) for w in {w.lower() for ln in kept for w in WORD.findall(ln)})
+                    if len(counts) > 200_000:
+                        yield out()
+        if counts:
+            yield out()
 
-def fit_profiles(documents: DataFrame, commonwords: DataFrame, size: int = FIT) -> Profiles:
-    """Boilerplate over all documents, then common words and profiles from a sample of about ``size`` documents."""
+    texts = documents.where("text is not null").select("text", F.col("lang").cast("string").alias("lang"), F.col("host").cast("string").alias("host"))
+    counted = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).mapInPandas(tongues, "tongue string, n bigint").groupBy("tongue").agg(F.sum("n").alias("n"))
+    of = {r["tongue"]: r["n"] for r in counted.where(F.col("n") >= least).collect() if r["tongue"] and r["tongue"] not in known}
+    if not of:
+        return {}
+    whole = documents.sparkSession.createDataFrame(list(of.items()), "tongue string, of bigint")
+    words = texts.mapInPandas(run, "tongue string, word string, n bigint").groupBy("tongue", "word").agg(F.sum("n").alias("n"))
+    learned: dict[str, set[str]] = {}
+    for row in words.join(F.broadcast(whole), "tongue").where(F.col("n") >= share * F.col("of")).collect():
+        learned.setdefault(row["tongue"], set()).add(row["word"])
+    # Of languages with equal counts in a text the first is taken.
+    return dict(sorted(learned.items()))
+
+
+def start_profiles(documents: DataFrame, commonwords: DataFrame) -> Profiles:
+    """Profiles before any is fitted, with the boilerplate and the common words of all documents."""
     common = read_common(commonwords)
     boilerplate = frozenset(boilerplate_units(documents))
-    # The limit leaves one partition; the texts are spread again.
-    sample = checkpoint(_sampled(documents.select("doc_id", "text", "lang", "host"), size).repartition(documents.sparkSession.sparkContext.defaultParallelism))
-    start = Profiles(common | learned_common(sample, boilerplate, set(common)), boilerplate)
+    return Profiles(common | learned_common(documents, boilerplate, set(common)), boilerplate)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [describe(t, start, h if isinstance(h, str) else None) for t, h in zip(batch["text"], batch["host"])]
-            if shares := [d["shares"].tolist() for d in found if d["kind"] != "empty"]:
-                yield pd.DataFrame({"shares": shares})
-
-    rows = sample.select("text", F.col("host").cast("string").alias("host")).mapInPandas(run, "shares array<double>").collect()
-    return start.fitted(np.array([r["shares"] for r in rows]).reshape(-1, WIDTH))
 
-
-STATISTICS = (
-    "doc_id bigint, kind string, profile string, language string, n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines int, lines_punctuated double, "
-    "common_share double, repetition double, columns int, prose_distance double, list_distance double, table_distance double, junk_distance double"
+MEASURES = (
+    "language string, n_words int, mean_word_length double, symbol_ratio double, digit_ratio double, n_lines int, lines_punctuated double, "
+    "common_share double, repetition double, columns int"
 )
 
 
-def _statistics(text: str, profiles: Profiles, host: str | None) -> tuple:
-    d = describe(text, profiles, host)
+def _measures(d: dict) -> tuple:
     lines, words, body = d["lines"], d["words"], d["body"]
     counts, n = d["classes"], len(body)
-    far = [d["far"][k] if d["kind"] != "empty" else None for k in ("prose", "list", "table", "junk")]
     return (
-        d["kind"], d["profile"], d["language"] or None, len(words), sum(map(len, words)) / len(words) if words else None, counts[5:].sum() / n if n else None, counts[2] / n if n else None,
-        len(lines), d["ended"] / len(lines) if lines else None, d["common"], d["runs"], d["columns"], *far,
+        d["language"] or None, len(words), sum(map(len, words)) / len(words) if words else None, counts[5:].sum() / n if n else None, counts[2] / n if n else None,
+        len(lines), d["ended"] / len(lines) if lines else None, d["common"], d["runs"], d["columns"],
     )
 
 
+def read_texts(documents: DataFrame, profiles: Profiles, measures: bool = True) -> DataFrame:
+    """Each document's doc_id, whether nothing of it is left, counts of the blocks, and its ``measures`` if asked for; nulls for a null text."""
+    schema = "doc_id bigint, empty boolean, shares array<double>" + (", " + MEASURES if measures else "")
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
+    fields = [(name, kinds[kind]) for name, kind in map(str.split, schema.split(", "))]
+
+    def row(text: str | None, host: str | None) -> tuple:
+        if text is None:
+            return (None,) * (len(fields) - 1)
+        got = read_text(text, profiles, host)
+        return got["empty"], got["shares"], *(_measures(got) if measures else ())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row(t, h) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            columns = zip(*rows) if rows else [()] * (len(fields) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields[1:]))], [name for name, _ in fields])
+
+    return documents.select("doc_id", "text", F.col("host").cast("string").alias("host")).mapInArrow(run, schema)
+
+
+def _rows(shares: pa.Array) -> np.ndarray:
+    return shares.flatten().to_numpy().reshape(-1, WIDTH)
+
+
+def fit_read(texts: DataFrame, start: Profiles, rounds: int = ROUNDS) -> Profiles:
+    """Profiles fitted to all rows of ``read_texts`` that are not empty; a round sums on the executors, and a few sums a profile reach the driver."""
+    rows, now = texts.where("not empty").select("shares"), start
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], now: Profiles = now) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sums = now.tally(_rows(batch.column(0)))
+                at, cell = np.nonzero(sums)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(cell, pa.int32()), pa.array(sums[at, cell])], ["profile", "cell", "n"])
+
+        tallied = np.zeros((len(now.table), WIDTH + len(BLOCKS) + 1), object)
+        for row in rows.mapInArrow(run, "profile int, cell int, n bigint").groupBy("profile", "cell").agg(F.sum(F.col("n").cast("decimal(28,0)")).alias("n")).collect():
+            tallied[row["profile"], row["cell"]] = int(row["n"])
+        now = now.moved(tallied)
+    return now
+
+
+def fit_profiles(documents: DataFrame, commonwords: DataFrame) -> Profiles:
+    """Boilerplate, common words and profiles, each from all documents."""
+    start = start_profiles(documents, commonwords)
+    texts = checkpoint(read_texts(documents, start, measures=False))
+    fit = fit_read(texts, start)
+    drop_checkpoint(texts)
+    return fit
+
+
+def _read_and_fit(documents: DataFrame, commonwords: DataFrame, profiles: Profiles | None, measures: bool) -> tuple[DataFrame, Profiles]:
+    if profiles:
+        return read_texts(documents, profiles, measures), profiles
+    # What a text is read by does not change with the fit, so each is read once for both.
+    start = start_profiles(documents, commonwords)
+    texts = checkpoint(read_texts(documents, start, measures))
+    return texts, fit_read(texts, start)
+
+
+STATISTICS = f"doc_id bigint, kind string, profile string, {MEASURES}, prose_distance double, list_distance double, table_distance double, junk_distance double"
+
+
 def text_statistics(documents: DataFrame, commonwords: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """One row of statistics for every row of documents, of the text without boilerplate at its edges.
 
@@ -451,28 +538,32 @@ def text_statistics(documents: DataFrame, commonwords: DataFrame, profiles: Prof
     or blank one, or one of boilerplate only, gives empty. Repeated rows each
     come out; columns other than doc_id, text, lang and host are not read.
     """
-    fit = profiles or fit_profiles(documents, commonwords)
+    texts, fit = _read_and_fit(documents, commonwords, profiles, True)
     names = [part.split()[0] for part in STATISTICS.split(", ")]
+    ends = pa.schema([("kind", pa.string()), ("profile", pa.string()), *((f"{kind}_distance", pa.float64()) for kind in KINDS)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *(_statistics(t, fit, h if isinstance(h, str) else None) if isinstance(t, str) else (None,) * (len(names) - 1))) for i, t, h in zip(batch["doc_id"], batch["text"], batch["host"])]
-            yield pd.DataFrame(rows, columns=names).astype({"n_words": "Int32", "n_lines": "Int32", "columns": "Int32", "doc_id": "Int64"})
+            away = iter(fit.distances(_rows(batch.column("shares"))))
+            found = [None if empty is None else kind_of(next(away), empty, fit) for empty in batch.column("empty").to_pylist()]
+            ended = [{"kind": d["kind"], "profile": d["profile"]} | {f"{k}_distance": float(v) for k, v in d["far"].items() if d["kind"] != "empty"} if d else {} for d in found]
+            added = pa.RecordBatch.from_pylist(ended, ends)
+            yield pa.RecordBatch.from_arrays([batch.column(n) if n in batch.schema.names else added.column(n) for n in names], names)
 
-    return documents.select("doc_id", "text", F.col("host").cast("string").alias("host")).mapInPandas(run, STATISTICS)
+    return texts.mapInArrow(run, STATISTICS)
 
 
 def structured_texts(documents: DataFrame, commonwords: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """Documents that are nearest to a profile of a list, a table or junk: doc_id, kind."""
-    fit = profiles or fit_profiles(documents, commonwords)
+    texts, fit = _read_and_fit(documents, commonwords, profiles, False)
+    kinds = np.array([kind for kind, _ in fit.names])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = [describe(t, fit, h if isinstance(h, str) else None)["kind"] for t, h in zip(batch["text"], batch["host"])]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "kind": kinds})
+            at = fit.distances(_rows(batch.column(1))).argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds[at])], ["doc_id", "kind"])
 
-    texts = documents.where("text is not null").select("doc_id", "text", F.col("host").cast("string").alias("host"))
-    return texts.mapInPandas(run, "doc_id bigint, kind string").where(F.col("kind").isin("list", "table", "junk"))
+    return texts.where("not empty").select("doc_id", "shares").mapInArrow(run, "doc_id bigint, kind string").where(F.col("kind").isin("list", "table", "junk"))
 
 
 def text_counts(documents: DataFrame, commonwords: DataFrame) -> DataFrame:

@@ -161,6 +161,22 @@ def test_fitted_profiles_move():
     assert start.fitted(np.zeros((0, quality.WIDTH))).table.shape == start.table.shape
 
 
+def test_fit_uses_all_documents(spark):
+    """A rare language is learned, and profiles move to the mean of every document, not of some."""
+    rare = "kas on see maja ja tema tuli".split()
+    rows = [(i, f"The {'abcdefghij'[i % 10] * 3} barn is {'old' * (i % 7)} and it follows the river of {i * i}.", "en", None) for i in range(9000)]
+    rows += [(9000 + i, " ".join(rare) + f" {'xyzuvw'[i % 6] * 4}.", "et", None) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, host string")
+    words = spark.createDataFrame([("en", w) for w in COMMON["en"]], "lang string, word string")
+    fit = quality.fit_profiles(docs, words)
+    assert fit.common["et"] == set(rare) and set(fit.common) == {"en", "et"}
+    start = quality.Profiles(fit.common, fit.boilerplate)
+    seen = np.array([d["shares"] for _, t, _, h in rows if not (d := quality.read_text(t, start, h))["empty"]])
+    assert len(seen) == len(rows) and np.allclose(fit.table, start.fitted(seen).table, atol=1e-10)
+    again = quality.fit_profiles(docs.repartition(3, "text"), words)
+    assert (again.table == fit.table).all()
+
+
 def test_divergence():
     assert quality.divergence(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality.divergence(np.array([2.0, 2]), np.array([5.0, 5])) == pytest.approx(0)

@@ -136,3 +136,15 @@ def test_interpolators(frame):
         assert made.dim == 2 and abs(got[0] - 7.5) <= off and abs(got[1] - 5.75) <= off, kind
     with pytest.raises(ValueError):
         Interpolator("spline", refs, ["x", "y"], "v")
+
+
+def test_triangulate_regular_grid():
+    """Four points on a circle everywhere: the squares are halved, none twice, and points are found in one of the halves."""
+    at = np.array([(x, 900 + y / 10) for x in range(20) for y in range(20)], float)
+    triangles = triangulate(np.vstack([at, at]))
+    assert len(triangles) == 2 * 19 * 19
+    where, weight = barycentric(at, triangles, np.vstack([at + [0.5, 0.025], [[-1.0, 900.0]]]))
+    inside = (at[:, 0] < 19) & (at[:, 1] < 901.85)
+    assert (where[:-1] >= 0).tolist() == inside.tolist() and where[-1] == -1
+    got = (at[triangles[where[:-1][inside]]] * weight[:-1][inside][:, :, None]).sum(axis=1)
+    assert np.allclose(got, at[inside] + [0.5, 0.025])

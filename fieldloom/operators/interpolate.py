@@ -88,15 +88,19 @@ def linear_interpolate(queries: DataFrame, refs: DataFrame, axes: Sequence[str],
     The triangulation is made by tiles of edge ``tile`` with a rim of one tile
     around; it equals the one of all points where circumcircles are smaller than
     the rim, so ``tile`` should be many times the distance of neighbours. Two
-    axes. A tile is one task.
+    axes. A tile is one task. Reference rows at one position count once, with
+    the lowest values.
     """
     x, y = axes
     q = joins.points(queries, axes, id, "q_").withColumns({"_tx": F.floor(F.col("q_0") / tile), "_ty": F.floor(F.col("q_1") / tile)})
     known = refs
     for v in (*axes, *values):
         known = known.where(F.col(v).isNotNull())
+    for a in axes:
+        known = known.where(~F.isnan(F.col(a).cast("double")))
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
     r = known.select(F.col(x).cast("double").alias("r_0"), F.col(y).cast("double").alias("r_1"), *(F.col(v).cast("double").alias(v) for v in values))
+    r = r.groupBy("r_0", "r_1").agg(F.min(F.struct(*values)).alias("_v")).select("r_0", "r_1", "_v.*")
     r = r.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around)).withColumns({"_tx": F.floor(F.col("r_0") / tile) + F.col("_i"), "_ty": F.floor(F.col("r_1") / tile) + F.col("_j")}).drop("_i", "_j")
     r = r.join(q.select("_tx", "_ty").distinct(), ["_tx", "_ty"], "left_semi")
     names = list(values)

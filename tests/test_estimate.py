@@ -148,3 +148,12 @@ def test_triangulate_regular_grid():
     assert (where[:-1] >= 0).tolist() == inside.tolist() and where[-1] == -1
     got = (at[triangles[where[:-1][inside]]] * weight[:-1][inside][:, :, None]).sum(axis=1)
     assert np.allclose(got, at[inside] + [0.5, 0.025])
+
+
+def test_linear_interpolate_repeated_references(spark, frame):
+    """Of reference rows at one position the lowest values count, whatever their order; a row without a position does no harm."""
+    corners = [(0, 0), (4, 0), (0, 4), (4, 4)]
+    refs = frame([*corners, *corners, (float("nan"), 1.0)], v=[5.0] * 4 + [1.0] * 4 + [0.0]).coalesce(1)
+    for order in ("id", "-id"):
+        got = interpolate.linear_interpolate(frame([(1, 1), (2, 3)]), refs.orderBy(F.expr(order)), AXES, ["v"], 10.0)
+        assert [round(r.v, 9) for r in got.orderBy("q_id").collect()] == [1.0, 1.0]

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom.operators import joins
+from fieldloom.operators import walk as walks
 from fieldloom.operators.components import components
 from fieldloom.session import checkpoint, drop_checkpoint
 
+#: Rows of a connected part up to which one task walks it; larger ones are walked in rounds.
+WALKED = 2_000_000
+
 
 def numbered(df: DataFrame, key: str, name: str = "number") -> DataFrame:
     """Distinct keys with their position in order, from 0: by ranges, with one count per range on the driver."""
@@ -79,14 +84,102 @@ def majority_clusters(df: DataFrame, axes: Sequence[str], r: float, id: str = "i
     The order is by density (rows within r), densest first, then the higher id;
     or ascending by ``order``, then the lower id. ``seeds`` (id, label) are
     labels to start from. A row without labelled rows near it starts a cluster
-    (if ``auto_set``); a tie leaves it at -1. All rows whose earlier neighbours
-    are settled are settled in one round; rounds end after the longest chain.
+    (if ``auto_set``); a tie leaves it at -1. Parts that no pair within r
+    connects are walked apart, by one task each; only votes by position are
+    kept. If a part has more than ``WALKED`` rows, all rows whose earlier
+    neighbours are settled are settled in one round instead; rounds end after
+    the longest chain.
     """
-    return _walk_clusters(df, axes, r, lambda votes: majority(votes, ["q_id"], "label"), id, order, seeds, auto_set)
+    return _walk_clusters(df, axes, r, lambda votes: majority(votes, ["q_id"], "label"), None, id, order, seeds, auto_set)
+
+
+def _walk_majority(near: walks.Near, steps: np.ndarray, seed: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Labels of points in the order of ``steps``, by the votes of the positions near; -1 is no label."""
+    label, of, new = seed.tolist(), near.of.tolist(), new.tolist()
+    votes: list[dict[int, int]] = [{} for _ in range(len(near.at))]
+    for p, c in zip(of, label):
+        if c != -1:
+            votes[p][c] = votes[p].get(c, 0) + 1
+    for i in steps.tolist():
+        p = of[i]
+        total: dict[int, int] = {}
+        for q in near.positions(p):
+            for c, n in votes[q].items():
+                total[c] = total.get(c, 0) + n
+        if total:
+            most = max(total.values())
+            best = [c for c, n in total.items() if n == most]
+            got = best[0] if len(best) == 1 else -1
+        else:
+            got = new[i]
+        own, old = votes[p], label[i]
+        if old != -1:
+            own[old] -= 1
+            if not own[old]:
+                del own[old]
+        if got != -1:
+            own[got] = own.get(got, 0) + 1
+        label[i] = got
+    return np.array(label, np.int64)
+
+
+def _walk_function(get_class: Callable[[list], int]) -> Callable[..., np.ndarray]:
+    def run(near: walks.Near, steps: np.ndarray, seed: np.ndarray, new: np.ndarray) -> np.ndarray:
+        label = seed.copy()
+        for i in steps.tolist():
+            seen = label[near.points(near.of[i])]
+            seen = seen[seen != -1]
+            label[i] = int(get_class(seen.tolist())) if len(seen) else new[i]
+        return label
+
+    return run
+
+
+def _number_started(labels: DataFrame, rank: DataFrame, id: str, top: int) -> DataFrame:
+    """Clusters named by their first row, below -1, numbered in the order in which they were started."""
+    named = labels.where("label < -1").select((F.lit(-2).cast("bigint") - F.col("label")).alias("id")).distinct().join(rank, "id").select("id", "rank")
+    numbers = numbered(named, "rank").join(named, "rank").select((F.lit(-2).cast("bigint") - F.col("id")).alias("label"), (F.col("number") + top + 1).alias("_to"))
+    out = labels.join(numbers, "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
+    return out.select(F.col("id").alias(id), "label")
 
 
-def _walk_clusters(df: DataFrame, axes: Sequence[str], r: float, vote: Callable[[DataFrame], DataFrame], id: str, order: Column | None, seeds: DataFrame | None, auto_set: bool) -> DataFrame:
-    """Rounds of the walk; ``vote`` turns (q_id, r_id, label) into one label for each q_id."""
+def _walk_parts(df: DataFrame, axes: Sequence[str], r: float, walk: Callable[..., np.ndarray], id: str, order: Column | None, seeded: DataFrame | None, top: int, auto_set: bool) -> DataFrame | None:
+    """The walk of each part in memory; nothing if a part is too large for one task."""
+    ordered = df.withColumn("_o", order if order is not None else F.lit(None).cast("double"))
+    rows = joins.points(ordered, axes, id, "", ["_o"])
+    rows = rows.join(seeded, "id", "left") if seeded is not None else rows.withColumn("label", F.lit(None).cast("bigint"))
+    at = [str(i) for i in range(len(axes))]
+    rows = rows.select("id", *at, F.coalesce("label", F.lit(-1)).cast("bigint").alias("label"), "_o", F.col("_o").isNotNull().alias("_has"))
+    rows = checkpoint(walks.in_parts(checkpoint(rows), at, r))
+    if rows.groupBy("_part").count().where(F.col("count") > WALKED).take(1):
+        return None
+    free = order is None
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        near = walks.Near(group[at].to_numpy(float), float(r))
+        ids = group["id"].to_numpy()
+        count = near.count() if free else np.zeros(len(ids), np.int64)
+        # Densest first, then the higher id; or by the order, nulls first, then the lower id.
+        steps = np.lexsort((-ids, -count)) if free else group.sort_values(["_has", "_o", "id"]).index.to_numpy()
+        new = -2 - ids.astype(np.int64) if auto_set else np.full(len(ids), -1)
+        return pd.DataFrame({"id": ids, "label": walk(near, steps, group["label"].to_numpy(np.int64), new), "_n": count})
+
+    got = checkpoint(walks.by_parts(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, label bigint, _n bigint"))
+    rank = got.select("id", F.struct((-F.col("_n")).alias("a"), (-F.col("id")).alias("b")).alias("rank")) if free else rows.select("id", F.struct(F.col("_o").alias("a"), F.col("id").alias("b")).alias("rank"))
+    return _number_started(got.select("id", "label"), rank, id, top)
+
+
+def _walk_clusters(df: DataFrame, axes: Sequence[str], r: float, vote: Callable[[DataFrame], DataFrame], walk: Callable[..., np.ndarray] | None, id: str, order: Column | None, seeds: DataFrame | None, auto_set: bool) -> DataFrame:
+    """The walk by parts (``walk``, by default by majority), or rounds of it; ``vote`` turns (q_id, r_id, label) into one label for each q_id."""
+    seeded, top = None, -1
+    if seeds is not None:
+        seeded = seeds.select(F.col(id).alias("id"), F.col("label").cast("bigint").alias("label")).where("label <> -1")
+        top = seeded.agg(F.max("label").alias("m")).first()["m"]
+        top = -1 if top is None else top
+    got = _walk_parts(df, axes, r, walk or _walk_majority, id, order, seeded, top, auto_set)
+    if got is not None:
+        return got
     valid = joins.points(df, axes, id).select("id")
     pairs = checkpoint(joins.ball(df, df, axes, r, id).select("q_id", "r_id"))
     if order is None:
@@ -99,11 +192,7 @@ def _walk_clusters(df: DataFrame, axes: Sequence[str], r: float, vote: Callable[
     earlier = other.where("earlier").select("q_id", "r_id")
     if seeds is None:
         seed_votes = None
-        top = -1
     else:
-        seeded = seeds.select(F.col(id).alias("id"), F.col("label").cast("bigint").alias("label")).where("label <> -1")
-        top = seeded.agg(F.max("label").alias("m")).first()["m"]
-        top = -1 if top is None else top
         later = other.where("not earlier").join(seeded.withColumnRenamed("id", "r_id"), "r_id").select("q_id", "r_id", "label")
         seed_votes = checkpoint(later.unionByName(seeded.select(F.col("id").alias("q_id"), F.col("id").alias("r_id"), "label")))
     open_nodes, open_edges = rank.select("id"), earlier
@@ -130,11 +219,7 @@ def _walk_clusters(df: DataFrame, axes: Sequence[str], r: float, vote: Callable[
         if not open_nodes.take(1):
             break
         open_edges = checkpoint(open_edges.join(open_nodes.select(F.col("id").alias("r_id")), "r_id", "left_semi").join(open_nodes.select(F.col("id").alias("q_id")), "q_id", "left_semi").select("q_id", "r_id"))
-    named = labels.where("label < -1").select((F.lit(-2).cast("bigint") - F.col("label")).alias("id")).distinct().join(rank, "id").select("id", "rank")
-    # Clusters are numbered in the order in which they were started.
-    numbers = numbered(named, "rank").join(named, "rank").select((F.lit(-2).cast("bigint") - F.col("id")).alias("label"), (F.col("number") + top + 1).alias("_to"))
-    out = labels.join(numbers, "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
-    return out.select(F.col("id").alias(id), "label")
+    return _number_started(labels, rank, id, top)
 
 
 def clustering(df: DataFrame, axes: Sequence[str], r: float, get_class: Callable[[list], int], id: str = "id", order: Column | None = None, seeds: DataFrame | None = None, auto_set: bool = True) -> DataFrame:
@@ -143,8 +228,9 @@ def clustering(df: DataFrame, axes: Sequence[str], r: float, get_class: Callable
     Like ``majority_clusters``, with ``get_class`` in place of the majority: it
     gets the labels other than -1 within r of a row, as a list sorted by the
     rows' ids, and returns one of them or -1; a row without any starts a cluster
-    (if ``auto_set``). The function is called in Arrow batches, once per row;
-    a row's list is as long as its neighbourhood.
+    (if ``auto_set``). The function is called once per row; a row's list is as
+    long as its neighbourhood. Labels of started clusters are below -1 until the
+    end.
     """
 
     @F.pandas_udf("bigint")
@@ -155,7 +241,7 @@ def clustering(df: DataFrame, axes: Sequence[str], r: float, get_class: Callable
         lists = votes.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("r_id", "label"))).alias("_l"))
         return lists.select("q_id", pick(F.col("_l.label")).alias("label"))
 
-    return _walk_clusters(df, axes, r, vote, id, order, seeds, auto_set)
+    return _walk_clusters(df, axes, r, vote, _walk_function(get_class), id, order, seeds, auto_set)
 
 
 def weight_clusters(df: DataFrame, axes: Sequence[str], r: float, seeds: DataFrame, id: str = "id", weights: str | None = None, order: str | None = None) -> DataFrame:

@@ -166,3 +166,19 @@ def test_greedy_walk_over_tiles(spark, monkeypatch):
         if all(((at[i] - at[j]) ** 2).sum() > 1.0 for j in kept):
             kept.append(int(i))
     assert {r.id for r in filters.greedy_ball(df, ["x", "y"], 1.0).collect()} == set(kept)
+
+
+def crowd(frame, seed):
+    """Points on few positions, some of them repeated, in two parts."""
+    rng = np.random.default_rng(seed)
+    at = np.concatenate([rng.integers(0, 6, (60, 2)), rng.integers(40, 44, (20, 2))]).astype(float)
+    return at, frame([tuple(map(float, p)) for p in at])
+
+
+def test_majority_walk_by_parts(frame, monkeypatch):
+    """The walk in memory gives the labels of the rounds, with and without seeds."""
+    _, df = crowd(frame, 6)
+    seeds = df.where("id % 9 = 0").select("id", (F.col("id") % 4).alias("label"))
+    whole = [labels(cluster.majority_clusters(df, AXES, 1.0, order=o, seeds=s)) for o, s in ((None, None), (F.col("x"), seeds))]
+    monkeypatch.setattr(cluster, "WALKED", 0)
+    assert whole == [labels(cluster.majority_clusters(df, AXES, 1.0, order=o, seeds=s)) for o, s in ((None, None), (F.col("x"), seeds))]

@@ -182,3 +182,16 @@ def test_majority_walk_by_parts(frame, monkeypatch):
     whole = [labels(cluster.majority_clusters(df, AXES, 1.0, order=o, seeds=s)) for o, s in ((None, None), (F.col("x"), seeds))]
     monkeypatch.setattr(cluster, "WALKED", 0)
     assert whole == [labels(cluster.majority_clusters(df, AXES, 1.0, order=o, seeds=s)) for o, s in ((None, None), (F.col("x"), seeds))]
+
+
+def test_clustering_by_parts(frame, monkeypatch):
+    """A function of the labels gives those of the plain walk, in memory and without a round."""
+    monkeypatch.setattr(cluster, "_walk_clusters", lambda *a, **k: cluster._walk_parts(a[0], a[1], a[2], a[4], a[5], a[6], None, -1, a[8]))
+    at, df = crowd(frame, 7)
+    near = [[j for j in range(len(at)) if ((at[i] - at[j]) ** 2).sum() <= 1.0] for i in range(len(at))]
+    label, started = [-1] * len(at), []
+    for i in sorted(range(len(at)), key=lambda i: (-len(near[i]), -i)):
+        seen = [label[j] for j in near[i] if label[j] != -1]
+        label[i] = min(seen) if seen else -2 - i
+        started += [] if seen else [-2 - i]
+    assert labels(cluster.clustering(df, AXES, 1.0, min)) == [started.index(c) for c in label]

@@ -250,37 +250,45 @@ def weight_clusters(df: DataFrame, axes: Sequence[str], r: float, seeds: DataFra
     A weight belongs to a label (at the start, to the row of that id) and is
     shared by all its rows, so the walk is sequential. Parts that no pair within
     r and no common label connect are independent; each is walked by one task,
-    in Arrow. Every row needs a seed label that is the id of some row.
+    from its coordinates. Every seed label other than -1 is the id of some row.
     """
-    pairs = checkpoint(joins.ball(df, df, axes, r, id).select("q_id", "r_id"))
-    seed = checkpoint(df.select(F.col(id).alias("id"), (F.col(weights).cast("double") if weights else F.lit(1.0)).alias("w"), (F.col(order) if order else F.lit(None).cast("bigint")).alias("o")).join(seeds.select(F.col(id).alias("id"), "label"), "id"))
-    part = components(pairs.select(F.col("q_id").alias("a"), F.col("r_id").alias("b")).unionByName(seed.select(F.col("id").alias("a"), F.col("label").alias("b"))))
-    near = pairs.groupBy(F.col("q_id").alias("id")).agg(F.sort_array(F.collect_list("r_id")).alias("near"))
-    rows = seed.join(near, "id").join(part.select(F.col("node").alias("id"), F.col("label").alias("_part")), "id", "left").withColumn("_part", F.coalesce("_part", "id"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        label, weight = dict(zip(group["id"], group["label"])), dict(zip(group["id"], group["w"]))
-        count = group["near"].map(len)
-        if order:
-            steps = group.assign(_n=group["o"]).sort_values(["_n", "id"])
-        else:
-            steps = group.assign(_n=count).sort_values(["_n", "id"], ascending=[False, False])
-        for i, near in zip(steps["id"], steps["near"]):
-            seen = [label[j] for j in near if label[j] != -1]
-            if not seen:
+    at = [str(i) for i in range(len(axes))]
+    weighed = df.withColumns({"_w": F.col(weights).cast("double") if weights else F.lit(1.0), "_o": F.col(order) if order else F.lit(None).cast("bigint")})
+    rows = checkpoint(joins.points(weighed, axes, id, "", ["_w", "_o"]).join(seeds.select(F.col(id).alias("id"), "label"), "id"))
+
+    def shared(celled: DataFrame) -> DataFrame:
+        """Cells of a row and of the row that its label names."""
+        named = celled.where("label <> id and label <> -1").select("label", F.col("_cell").alias("a")).distinct()
+        return named.join(celled.select(F.col("id").alias("label"), F.col("_cell").alias("b")), "label").select("a", "b").distinct()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", ignore_index=True)
+        near = walks.Near(group[at].to_numpy(float), float(r))
+        ids, named, weight = group["id"].to_numpy(), group["label"].to_numpy(), group["_w"].to_numpy(float).copy()
+        # A label is the place of the row that it names.
+        label = np.searchsorted(ids, named)
+        label[named == -1] = -1
+        if (ids[np.minimum(label, len(ids) - 1)] != named)[label >= 0].any():
+            raise ValueError("a seed label is not the id of a row")
+        steps = group.sort_values(["_o", "id"]).index.to_numpy() if order else np.lexsort((-ids, -near.count()))
+        for i in steps.tolist():
+            seen = label[near.points(near.of[i])]
+            seen = seen[seen >= 0]
+            if not len(seen):
                 continue
-            total: dict[int, float] = {}
-            for c in seen:
-                total[c] = total.get(c, 0.0) + weight[c]
-            best = seen[-1]
-            for c, w in total.items():
-                if w > total[best]:
-                    best = c
-            weight[best] = total[best] / len(seen)
-            label[i] = best
-        return pd.DataFrame({"id": list(label), "label": list(label.values())})
-
-    return rows.groupBy("_part").applyInPandas(walk, f"id {seed.schema['id'].dataType.simpleString()}, label bigint").select(F.col("id").alias(id), "label")
+            found, first, code = np.unique(seen, return_index=True, return_inverse=True)
+            total = np.bincount(code, weight[seen])
+            # The last label seen, unless others weigh more; of those the heaviest that was seen first.
+            best = code[-1]
+            heavy = np.flatnonzero(total == total.max())
+            if len(heavy) and total[best] < total[heavy[0]]:
+                best = heavy[np.argmin(first[heavy])]
+            weight[found[best]] = total[best] / len(seen)
+            label[i] = found[best]
+        return pd.DataFrame({"id": ids, "label": np.where(label >= 0, ids[label], -1)})
+
+    got = walks.by_parts(checkpoint(walks.in_parts(rows, at, r, shared)), run, f"id {rows.schema['id'].dataType.simpleString()}, label bigint")
+    return got.select(F.col("id").alias(id), "label")
 
 
 def class_dict(df: DataFrame, id: str = "id", label: str = "label", min_size: int = 1, max_size: int | None = None, missing: int = -1) -> DataFrame:

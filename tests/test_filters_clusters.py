@@ -195,3 +195,23 @@ def test_clustering_by_parts(frame, monkeypatch):
         label[i] = min(seen) if seen else -2 - i
         started += [] if seen else [-2 - i]
     assert labels(cluster.clustering(df, AXES, 1.0, min)) == [started.index(c) for c in label]
+
+
+def test_weight_walk_without_pairs(frame, monkeypatch):
+    """Shared weights over repeated positions give the labels of the plain walk; no pair is made."""
+    monkeypatch.setattr(joins, "ball", None)
+    at, df = crowd(frame, 8)
+    first = df.select("id", F.when(F.col("id") % 5 == 0, F.lit(-1)).otherwise(F.col("id") - F.col("id") % 3).alias("label"))
+    near = [[j for j in range(len(at)) if ((at[i] - at[j]) ** 2).sum() <= 1.0] for i in range(len(at))]
+    label, weight = [-1 if i % 5 == 0 else i - i % 3 for i in range(len(at))], [1.0] * len(at)
+    for i in sorted(range(len(at)), key=lambda i: (-len(near[i]), -i)):
+        seen = [label[j] for j in near[i] if label[j] != -1]
+        if seen:
+            total = {}
+            for c in seen:
+                total[c] = total.get(c, 0.0) + weight[c]
+            best = seen[-1]
+            for c, w in total.items():
+                best = c if w > total[best] else best
+            weight[best], label[i] = total[best] / len(seen), best
+    assert labels(cluster.weight_clusters(df, AXES, 1.0, first)) == label

@@ -215,3 +215,26 @@ def test_weight_walk_without_pairs(frame, monkeypatch):
                 best = c if w > total[best] else best
             weight[best], label[i] = total[best] / len(seen), best
     assert labels(cluster.weight_clusters(df, AXES, 1.0, first)) == label
+
+
+def stacked(spark, monkeypatch):
+    """Rows on repeated positions, and the numbers of query rows that radius joins get from here on."""
+    rng = np.random.default_rng(9)
+    at = np.round(np.concatenate([rng.random((80, 2)) * 9 - 3, np.repeat(rng.random((12, 2)) * 9, 6, axis=0)]), 1)
+    value = [float(v) for v in rng.integers(0, 9, len(at))]
+    df = spark.createDataFrame([(i, float(x), float(y), v) for i, ((x, y), v) in enumerate(zip(at, value))], "id bigint, x double, y double, a double")
+    asked, ball = [], joins.ball
+
+    def counted(queries, refs, *args, **more):
+        asked.append(max(queries.count(), refs.count()))
+        return ball(queries, refs, *args, **more)
+
+    monkeypatch.setattr(joins, "ball", counted)
+    near = ((at[:, None] - at[None]) ** 2).sum(axis=2) <= 1.0
+    return at, value, df, near, len(np.unique(at, axis=0)), asked
+
+
+def test_min_filter_joins_positions_once(spark, monkeypatch):
+    _, value, df, near, positions, asked = stacked(spark, monkeypatch)
+    assert ids(filters.min_filter(df, AXES, "a", 1.0)) == {min(np.flatnonzero(row), key=lambda j: (value[j], j)) for row in near}
+    assert asked == [positions]

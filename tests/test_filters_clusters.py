@@ -238,3 +238,13 @@ def test_min_filter_joins_positions_once(spark, monkeypatch):
     _, value, df, near, positions, asked = stacked(spark, monkeypatch)
     assert ids(filters.min_filter(df, AXES, "a", 1.0)) == {min(np.flatnonzero(row), key=lambda j: (value[j], j)) for row in near}
     assert asked == [positions]
+
+
+def test_greedy_ball_joins_positions_once(spark, monkeypatch):
+    at, _, df, near, positions, asked = stacked(spark, monkeypatch)
+    kept = []
+    for i in sorted(range(len(at)), key=lambda i: (at[i][1], i), reverse=True):
+        if not any(near[i, j] for j in kept):
+            kept.append(i)
+    assert ids(filters.greedy_ball(df, AXES, 1.0)) == set(kept)
+    assert asked == [positions]

@@ -248,3 +248,14 @@ def test_greedy_ball_joins_positions_once(spark, monkeypatch):
             kept.append(i)
     assert ids(filters.greedy_ball(df, AXES, 1.0)) == set(kept)
     assert asked == [positions]
+
+
+def test_surface_joins_positions_once(spark, monkeypatch):
+    at, _, df, near, positions, asked = stacked(spark, monkeypatch)
+    kept = []
+    for i in sorted(range(len(at)), key=lambda i: (at[i][1], i), reverse=True):
+        if not any(near[i, j] for j in kept):
+            kept.append(i)
+    got = ids(filters.surface(df, AXES, 1.0))
+    assert asked == [positions, positions]
+    assert {tuple(at[i]) for i in got} == {tuple(at[max(np.flatnonzero(near[i]), key=lambda j: (at[j][1], j))]) for i in kept}

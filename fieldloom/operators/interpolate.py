@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fieldloom.operators import joins
 from fieldloom.operators.delaunay import barycentric, triangulate
 from fieldloom.operators.estimate import centre_of
+from fieldloom.session import checkpoint
 
 
 def knn_interpolate(queries: DataFrame, refs: DataFrame, axes: Sequence[str], value: str, k: int | None = None, max_dist: float | None = None, id: str = "id", ref_id: str | None = None) -> DataFrame:
@@ -23,13 +24,18 @@ def knn_interpolate(queries: DataFrame, refs: DataFrame, axes: Sequence[str], va
     any has a null value. References of null value are left out.
     """
     known = refs.where(F.col(value).isNotNull())
-    near = joins.knn(queries, known, axes, k or len(axes) + 1, id, ref_id)
+    # Queries at one position have the same value, so each position is asked once.
+    at = [f"_x{i}" for i in range(len(axes))]
+    every = joins.points(queries, axes, id, "q_").withColumnsRenamed({f"q_{i}": a for i, a in enumerate(at)})
+    asked = checkpoint(every.groupBy(*at).agg(F.min("q_id").alias("_first")))
+    near = joins.knn(asked.select(F.col("_first").alias(id), *(F.col(x).alias(a) for x, a in zip(at, axes))), known, axes, k or len(axes) + 1, id, ref_id)
     values = known.select(F.col(ref_id or id).alias("r_id"), F.col(value).cast("double").alias("_v"))
     d = F.sqrt("sd")
     weight = F.when(d == 0, F.lit(0.0)).when((d > max_dist) if max_dist is not None else F.lit(False), F.lit(0.0)).otherwise(1 / F.nullif(d, F.lit(0.0)))
     met = near.join(values, "r_id").withColumn("_w", weight)
     exact, total = F.avg(F.when(d == 0, F.col("_v"))), F.sum("_w")
-    return met.groupBy("q_id").agg(F.coalesce(exact, F.try_divide(F.sum(F.col("_w") * F.col("_v")), total)).alias("value"))
+    value_of = met.groupBy(F.col("q_id").alias("_first")).agg(F.coalesce(exact, F.try_divide(F.sum(F.col("_w") * F.col("_v")), total)).alias("value"))
+    return every.join(asked.join(value_of, "_first").select(*at, "value"), at).select("q_id", "value")
 
 
 def powers(dim: int, degree: int, interaction_only: bool = False) -> list[tuple[int, ...]]:

@@ -157,3 +157,12 @@ def test_linear_interpolate_repeated_references(spark, frame):
     for order in ("id", "-id"):
         got = interpolate.linear_interpolate(frame([(1, 1), (2, 3)]), refs.orderBy(F.expr(order)), AXES, ["v"], 10.0)
         assert [round(r.v, 9) for r in got.orderBy("q_id").collect()] == [1.0, 1.0]
+
+
+def test_knn_interpolate_asks_positions_once(frame, monkeypatch):
+    asked, knn = [], interpolate.joins.knn
+    monkeypatch.setattr(interpolate.joins, "knn", lambda q, *a, **k: asked.append(q.count()) or knn(q, *a, **k))
+    refs = frame([(0, 0), (4, 0), (0, 4)], v=[1.0, 3.0, 5.0])
+    got = interpolate.knn_interpolate(frame([(1, 0), (0, 4), (1, 0), (1, 0)]), refs, AXES, "v", 2).orderBy("q_id").collect()
+    assert [(r.q_id, round(r.value, 9)) for r in got] == [(0, 1.5), (1, 5.0), (2, 1.5), (3, 1.5)]
+    assert asked == [2]
